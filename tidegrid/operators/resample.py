@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.times import eastern
 from tidegrid.operators.asof import asof_join
+from tidegrid.operators.series import DEFAULT_BUCKET_SECONDS
 
 
 def _bar_columns(order: Column) -> list[Column]:
@@ -55,7 +56,7 @@ def resample_bars(bars: DataFrame, timeframe: str) -> DataFrame:
     ).withColumnRenamed("_start", "t")
 
 
-def split_adjust(bars: DataFrame, splits: DataFrame) -> DataFrame:
+def split_adjust(bars: DataFrame, splits: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Prices before a split are divided by its ratio, volumes multiplied; several splits multiply up.
 
     Splits are turned into running products from the latest backwards, and each bar takes the product of the first
@@ -72,7 +73,7 @@ def split_adjust(bars: DataFrame, splits: DataFrame) -> DataFrame:
             F.lit(0).cast("bigint").alias("_id"),
         )
     )
-    joined = asof_join(bars, factors, ["_factor"], direction="forward", tie="_id")
+    joined = asof_join(bars, factors, ["_factor"], direction="forward", tie="_id", bucket_seconds=bucket_seconds)
     factor = F.coalesce("_factor", F.lit(1.0))
     prices = {name: F.col(name) / factor for name in ("open", "high", "low", "close", "vw")}
     return joined.withColumns(prices | {"v": F.col("v") * factor}).drop("_factor")

@@ -13,10 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Event stream as ticks: one symbol per event type, few and long."""
+def event_ticks(events: DataFrame) -> DataFrame:
+    """Events as ticks: one symbol per event type, few and long. A table or a stream."""
     size = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
@@ -25,6 +25,10 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ticks(spark: SparkSession, folder: str) -> DataFrame:
+    return event_ticks(table(spark, folder, "events"))
+
+
 def wide_ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as trades: one symbol per supplier, many and shorter."""
     return table(spark, folder, "lineitem").select(
@@ -45,11 +49,11 @@ def wide_bars(spark: SparkSession, folder: str) -> DataFrame:
     return resample_ticks(wide_ticks(spark, folder), "1 day", order="seq")
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as news: fixed rule for symbol and time of publication."""
+def document_articles(documents: DataFrame) -> DataFrame:
+    """Documents as news, with a fixed rule for symbol and time of publication. A table or a stream."""
     symbols = F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])
     minute = F.pmod(F.col("doc_id") * 37, F.lit(43200))
-    return table(spark, folder, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("article_id"),
         F.element_at(symbols, (F.pmod("doc_id", F.lit(5)) + 1).cast("int")).alias("symbol"),
         F.timestamp_seconds(F.lit(1704067200) + minute * 60).alias("created_at"),
@@ -58,6 +62,10 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    return document_articles(table(spark, folder, "documents"))
+
+
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select(F.col("page_id").alias("article_id"), F.col("html").alias("content"))
 
