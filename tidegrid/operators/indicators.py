@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.psar import parabolic_sar
@@ -259,11 +259,12 @@ def ichimoku_recipe(laid: Laid, periods: tuple[int, int, int] = (9, 26, 52)) ->
     )
 
 
-def pivot_recipe(laid: Laid, levels: bool = True) -> Recipe:
+def pivot_points(bars: DataFrame) -> DataFrame:
+    """Pivot and its resistance and support levels, from each bar's own high, low and close."""
     high, low, pivot = F.col("high"), F.col("low"), _typical()
-    outputs = {"PP": pivot}
-    if levels:
-        outputs |= {
+    return bars.withColumns(
+        {
+            "PP": pivot,
             "R1": pivot * 2 - low,
             "S1": pivot * 2 - high,
             "R2": pivot + (high - low),
@@ -271,7 +272,7 @@ def pivot_recipe(laid: Laid, levels: bool = True) -> Recipe:
             "R3": high + (pivot - low) * 2,
             "S3": low - (high - pivot) * 2,
         }
-    return Recipe(tuple(outputs), {OUTPUT: outputs})
+    )
 
 
 def roc_recipe(laid: Laid, period: int = 10) -> Recipe:
@@ -397,10 +398,6 @@ def ichimoku(laid: Laid, periods: tuple[int, int, int] = (9, 26, 52)) -> Laid:
     return run_recipes(laid, [ichimoku_recipe(laid, periods)])
 
 
-def pivot_points(laid: Laid) -> Laid:
-    return run_recipes(laid, [pivot_recipe(laid)])
-
-
 def roc(laid: Laid, period: int = 10) -> Laid:
     return run_recipes(laid, [roc_recipe(laid, period)])
 
@@ -422,7 +419,7 @@ def all_features(laid: Laid) -> Laid:
             ichimoku_recipe, roc_recipe, chaikin_recipe, cci_recipe, ema_recipe, wma_recipe,
         )
     ]
-    recipes.append(pivot_recipe(laid, levels=False))
     bars = laid.frame.columns
-    done = parabolic_sar(on_balance_volume(run_recipes(laid, recipes)))
+    done = run_recipes(laid, recipes).with_columns({"PP": _typical()})
+    done = parabolic_sar(on_balance_volume(done))
     return replace(done, frame=done.frame.select(*bars, *FEATURES))

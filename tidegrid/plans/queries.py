@@ -50,13 +50,17 @@ def register(query: Query) -> Query:
 
 
 def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = DIGITS) -> DataFrame:
-    """Rounded doubles and zone-free times, the form in which results are compared."""
+    """Rounded doubles and zone-free times, the form in which results are compared.
+
+    The nudge decides values that end exactly halfway, which two engines may round differently.
+    """
+    nudge = 3 * 10.0 ** -(digits + 3)
     shown = []
     for field in df.schema.fields:
         column = F.col(field.name)
         if columns is None or field.name in columns:
             if isinstance(field.dataType, T.DoubleType):
-                column = F.round(column, digits) + F.lit(0.0)
+                column = F.round(column + F.lit(nudge), digits) + F.lit(0.0)
             elif isinstance(field.dataType, T.TimestampType):
                 column = column.cast("timestamp_ntz")
             shown.append(column.alias(field.name))
@@ -90,7 +94,6 @@ QUERIES |= {
     "atr": _indicator(indicators.atr, ["ATR"]),
     "mfi": _indicator(indicators.mfi, ["MFI"]),
     "ichimoku": _indicator(indicators.ichimoku, ["Tenkan", "Kijun", "SenkouA", "SenkouB", "Chikou"]),
-    "pivot_points": _indicator(indicators.pivot_points, ["PP", "R1", "S1", "R2", "S2", "R3", "S3"]),
     "roc": _indicator(indicators.roc, ["ROC"]),
     "chaikin": _indicator(indicators.chaikin, ["CMF"]),
     "cci": _indicator(indicators.cci, ["CCI"]),
@@ -99,6 +102,12 @@ QUERIES |= {
 }
 
 
+@register
+def pivot_points(spark: SparkSession, folder: str) -> DataFrame:
+    shown = ["PP", "R1", "S1", "R2", "S2", "R3", "S3"]
+    return rounded(indicators.pivot_points(market.bars(spark, folder)), ["symbol", "t", *shown])
+
+
 @register
 def features_wide(spark: SparkSession, folder: str) -> DataFrame:
     """All indicators over many symbols: daily bars of suppliers' order lines."""

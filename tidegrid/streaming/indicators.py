@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from tidegrid.operators.psar import advance, opening_state
 from tidegrid.session import scratch_path
@@ -24,12 +24,22 @@ from tidegrid.sources import market
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = StructType.fromDDL("symbol string, t timestamp, close double, EMA20 double, RSI double, PSAR double")
-BUFFER = StructType.fromDDL("t bigint, high double, low double, close double")
-RUNNING = StructType.fromDDL(
-    "bars bigint, high double, low double, close double, first_high double, first_low double, "
-    "total double, ema double, gain double, loss double, up double, stop double, extreme double, pace double"
+SHOWN = ("EMA20", "RSI", "PSAR")
+COUNT = "bars"
+NUMBERS = (
+    "high", "low", "close", "total", "ema", "gain", "loss", "up", "stop", "extreme", "pace",
+)
+
+
+def _doubles(names) -> list[StructField]:
+    return [StructField(name, DoubleType()) for name in names]
+
+
+OUTPUT = StructType(
+    [StructField("symbol", StringType()), StructField("t", TimestampType()), *_doubles(("close", *SHOWN))]
 )
+BUFFER = StructType([StructField("t", LongType()), *_doubles(("high", "low", "close"))])
+RUNNING = StructType([StructField(COUNT, LongType()), *_doubles(NUMBERS)])
 EMA_ROWS, RSI_ROWS = 20, 14
 STEP, LIMIT = 0.02, 0.2
 
