@@ -30,7 +30,8 @@ def lexicon_scores(
 
     An article's words all come from its own row, so summing them before the shuffle leaves one row per article. The
     lexicon is joined without a hint: Spark broadcasts it while it is below the broadcast threshold, and otherwise
-    shuffles and splits frequent words.
+    shuffles and splits frequent words. Sums are rounded to nine digits, so that they do not depend on the order of
+    addition and equal ones tie.
     """
     words = articles.select(article, *keep, F.explode_outer(tokens(text)).alias("word"))
     weights = lexicon.groupBy("word").agg(
@@ -40,7 +41,7 @@ def lexicon_scores(
     summed = (
         words.join(weights, "word", "left")
         .groupBy(article, *keep)
-        .agg(*[F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))).alias(s) for c, s in zip(CLASSES, scores, strict=True)])
+        .agg(*[F.round(F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))), 9).alias(s) for c, s in zip(CLASSES, scores, strict=True)])
     )
     chances = softmax([F.col(s) for s in scores])
     return summed.withColumns(dict(zip(CLASSES, chances, strict=True)))

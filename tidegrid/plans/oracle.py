@@ -111,6 +111,8 @@ def _indicator(ctes: str, select: str, outputs: Sequence[str], source: str = "f"
     return f"WITH RECURSIVE {BARS}, {ctes}, shown AS (SELECT symbol, t, {select} FROM {source}) SELECT symbol, t, {_round(outputs)} FROM shown"
 
 
+ORIGINAL = ["open", "high", "low", "close", "v", "n", "vw"]
+
 TYPICAL = "((high + low + close) / 3)"
 
 # Pieces of the indicators: CTEs, and an expression per output over ``f`` (bars with the pieces joined).
@@ -259,7 +261,6 @@ f AS (SELECT b.*, walk.shown AS y FROM b LEFT JOIN walk USING (symbol, i))""",
 
 _define_indicators()
 
-ORIGINAL = ["open", "high", "low", "close", "v", "n", "vw"]
 
 
 def _bar_select(source: str, digits: int = DIGITS) -> str:
@@ -338,22 +339,56 @@ SELECT symbol, feature, {_shown('r2 * (cnt - 2) / (1 - r2)', 4)} AS f_score, {_s
   row_number() OVER (PARTITION BY symbol ORDER BY round(mi, 9) DESC, feature) AS place FROM f JOIN mi USING (symbol, feature)"""
 
 
-def _features_all() -> str:
-    """All indicator columns in one statement: the pieces of every indicator under names of their own."""
-    parts, joins, outputs = [], [], []
-    for name, (ctes, select, out) in INDICATORS.items():
+FEATURES = [o for _, _, out in INDICATORS.values() for o in out if o not in ("R1", "S1", "R2", "S2", "R3", "S3")]
+
+WIDE_BARS = f"""{WIDE},
+bars AS MATERIALIZED (SELECT * FROM wide_bars),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i,
+  count(*) OVER (PARTITION BY symbol) AS rows_all FROM bars)"""
+
+
+def _feature_ctes() -> str:
+    """CTE ``feat``: bars with all indicator columns, from the pieces of every indicator under names of their own."""
+    parts, joins = [], []
+    for name, (ctes, select, _) in INDICATORS.items():
         outer = f"WITH RECURSIVE {ctes} SELECT symbol AS {name}_s, t AS {name}_t, {select} FROM f"
         parts.append(f"{name}_part AS MATERIALIZED ({outer})")
-        joins.append(f"JOIN {name}_part ON bars.symbol = {name}_s AND bars.t = {name}_t")
-        outputs += [o for o in out if o not in ("R1", "S1", "R2", "S2", "R3", "S3")]
-    prices = _round(["open", "high", "low", "close", "v"])
-    return f"""WITH {BARS}, {", ".join(parts)}
-SELECT bars.symbol, bars.t, {prices}, bars.n, {_round(["vw"])}, {_round(outputs)} FROM bars {" ".join(joins)}"""
+        joins.append(f"JOIN {name}_part ON b.symbol = {name}_s AND b.t = {name}_t")
+    columns = ", ".join(f"b.{c}" for c in ("symbol", "t", "i", *ORIGINAL))
+    return f"{', '.join(parts)}, feat AS MATERIALIZED (SELECT {columns}, {', '.join(FEATURES)} FROM b {' '.join(joins)})"
+
+
+def _features_all(bars: str = BARS, digits: int = DIGITS) -> str:
+    prices = _round(["open", "high", "low", "close", "v"], digits)
+    return f"""WITH {bars}, {_feature_ctes()}
+SELECT symbol, t, {prices}, n, {_round(["vw"], digits)}, {_round(FEATURES, digits)} FROM feat"""
+
+
+def _filled(columns: Sequence[str]) -> str:
+    behind = "PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ahead = "PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return ", ".join(
+        f"coalesce(last_value({c} IGNORE NULLS) OVER ({behind}), first_value({c} IGNORE NULLS) OVER ({ahead})) AS {c}"
+        for c in columns
+    )
+
+
+def _combined() -> str:
+    """Scaled and filled features with the filled scores of the nearest article."""
+    columns = [*ORIGINAL, *FEATURES]
+    return f"""WITH {BARS}, {_feature_ctes()}, {SENTIMENT}, {NEAREST},
+scaled AS (SELECT symbol, t, i, {", ".join(_minmax(c) for c in columns)} FROM feat),
+whole AS (SELECT symbol, t, i, {_filled(columns)} FROM scaled),
+matched AS (SELECT w.*, {", ".join(f"near.{c}" for c in CLASSES)} FROM whole w JOIN near USING (symbol, t)),
+done AS (SELECT symbol, t, {", ".join(columns)}, {_filled(CLASSES)} FROM matched)
+SELECT symbol, t, {_round([*columns, *CLASSES])} FROM done"""
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {name: _indicator(ctes, select, outputs) for name, (ctes, select, outputs) in INDICATORS.items()}
     sql["features_all"] = _features_all()
+    sql["features_wide"] = _features_all(WIDE_BARS, digits=3)
+    sql["combined_features"] = _combined()
     for name in ("scan_bars", "union_pages", "bars_sink", "resample_bars", "sort_time", "stream_bars"):
         sql[name] = f"WITH {BARS} {_bar_select('bars')}"
     sql["scan_bars"] = sql["scan_bars"].replace("SELECT symbol, t, round", "SELECT upper(symbol) AS symbol, t, round")
@@ -399,6 +434,10 @@ SELECT l_orderkey, l_linenumber, {_round(CLASSES)} FROM q"""
     p, m, z = (f"round(score_{c}, 9)" for c in CLASSES)
     label = f"CASE WHEN {p} >= {m} AND {p} >= {z} THEN 'positive' WHEN {m} >= {z} THEN 'negative' ELSE 'neutral' END"
     sql["sentiment_label"] = f"WITH {ARTICLES}, {_scored('content', 'articles')} SELECT article_id, {label} AS sentiment FROM scored"
+    cleaned = f"""cleaned AS MATERIALIZED (SELECT article_id, created_at, {_clean_html("headline")} AS headline,
+  {_clean_html("content")} AS content FROM articles), kept AS (SELECT * FROM cleaned WHERE length(content) > 0)"""
+    sql["labelled_articles"] = f"""WITH {ARTICLES}, {cleaned}, {_scored("content", "kept")}
+SELECT created_at, headline, content, {label} AS sentiment FROM scored"""
     sql["sentiment_series"] = f"WITH {SENTIMENT} SELECT symbol, t, article_id, {_round(CLASSES)}, headline FROM sentiment"
     sql["stream_news_sentiment"] = f"""WITH {SENTIMENT}, means AS (SELECT symbol, t, count(*) AS articles, avg(positive) AS positive,
   avg(negative) AS negative, avg(neutral) AS neutral FROM sentiment GROUP BY 1, 2) SELECT symbol, t, articles, {_round(CLASSES)} FROM means"""

@@ -112,7 +112,7 @@ def pivot_points(spark: SparkSession, folder: str) -> DataFrame:
 def features_wide(spark: SparkSession, folder: str) -> DataFrame:
     """All indicators over many symbols: daily bars of suppliers' order lines."""
     laid = lay_out(market.wide_bars(spark, folder), bucket_seconds=8192 * 86400)
-    return rounded(indicators.all_features(laid).rows())
+    return rounded(indicators.all_features(laid).rows(), digits=3)
 
 
 # -- sources and sinks
@@ -272,9 +272,7 @@ def sentiment_lexicon(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def sentiment_label(spark: SparkSession, folder: str) -> DataFrame:
     scored = sentiment.lexicon_scores(market.articles(spark, folder), lexicon(spark), "content", [])
-    # Sums of decimal weights are rounded before they are compared, so that equal sums tie.
-    even = scored.withColumns({f"score_{n}": F.round(f"score_{n}", 9) for n in text.CLASSES})
-    return sentiment.lexicon_label(even).select("article_id", "sentiment")
+    return sentiment.lexicon_label(scored).select("article_id", "sentiment")
 
 
 @register
