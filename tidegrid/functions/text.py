@@ -81,13 +81,18 @@ def clean_html_text(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case word tokens of the whole text."""
-    return F.filter(F.split(F.lower(_col(text)), WORD_BREAK), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(_col(text)), WORD_BREAK), "")
 
 
-def prepare_text(headline: Column | str, content: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
-    """Headline and content as tokens joined by spaces; ``max_tokens`` is the length limit of the scorer's input."""
+def article_tokens(headline: Column | str, content: Column | str, max_tokens: int | None = None) -> Column:
+    """Tokens of headline and content; ``max_tokens`` is the length limit of a scorer that has one."""
     words = tokens(F.concat_ws(" ", _col(headline), _col(content)))
-    return F.array_join(words if max_tokens is None else F.slice(words, 1, max_tokens), " ")
+    return words if max_tokens is None else F.slice(words, 1, max_tokens)
+
+
+def prepare_text(headline: Column | str, content: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
+    """Headline and content as tokens joined by spaces."""
+    return F.array_join(article_tokens(headline, content, max_tokens), " ")
 
 
 def headline_pad(headline: Column | str, width: int = HEADLINE_WIDTH) -> Column:

@@ -25,58 +25,54 @@ def _micros(time: str) -> Column:
     return F.unix_micros(F.col(time))
 
 
-def _reduced(right: DataFrame, key: str, time: str, payload: Sequence[str], tie: str, last: bool) -> DataFrame:
-    """One right row per (key, time): the last by ``tie`` looking back, the first looking ahead."""
-    pick = F.max_by if last else F.min_by
-    return right.groupBy(key, time).agg(*[pick(name, F.col(tie)).alias(name) for name in payload])
+def _reduced(right: DataFrame, key: str, time: str, payload: Sequence[str], tie: str, sides: Sequence[str]) -> DataFrame:
+    """One right row per (key, time): the last by ``tie`` for looking back, the first for looking ahead."""
+    picks = {"_back": F.max_by, "_ahead": F.min_by}
+    return right.groupBy(key, time).agg(
+        *[picks[side](name, F.col(tie)).alias(f"{side}_{name}") for side in sides for name in payload]
+    )
 
 
-def _within_tolerance(right: DataFrame, key: str, time: str, seconds: int, tolerance: int, back: bool) -> DataFrame:
+def _within_tolerance(right: DataFrame, time: str, seconds: int, tolerance: int, sides: Sequence[str]) -> DataFrame:
     """Right rows copied to each bucket with left rows that can still reach them."""
     width = seconds * 1_000_000
     reach = tolerance * 1_000_000
-    low = _micros(time) if back else _micros(time) - reach
-    high = _micros(time) + reach if back else _micros(time)
+    low = _micros(time) - reach if "_ahead" in sides else _micros(time)
+    high = _micros(time) + reach if "_back" in sides else _micros(time)
     return right.withColumn(_BUCKET, F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
 
 
 def _unlimited(
-    right: DataFrame, left_buckets: DataFrame, key: str, time: str, payload: Sequence[str], seconds: int, back: bool
+    right: DataFrame, left_buckets: DataFrame, key: str, time: str, seconds: int, sides: Sequence[str]
 ) -> DataFrame:
-    """Right rows of the bucket itself, and for buckets with left rows the nearest right row from outside."""
+    """Right rows of the bucket itself, and for buckets with left rows the nearest right rows from outside."""
     home = right.withColumn(_BUCKET, time_bucket(time, seconds))
-    pick, order = (F.max_by, F.col(_BUCKET)) if back else (F.min_by, F.col(_BUCKET).desc())
-    edge = home.groupBy(key, _BUCKET).agg(
-        (F.max if back else F.min)(time).alias(time), *[pick(n, _micros(time)).alias(n) for n in payload]
+    values = [name for name in right.columns if name != key]
+    ends = {"_back": F.max_by, "_ahead": F.min_by}
+    edges = home.groupBy(key, _BUCKET).agg(
+        *[ends[side](name, _micros(time)).alias(f"{side}{name}") for side in sides for name in values]
+    )
+    edges = edges.select(
+        key, _BUCKET, *[F.struct(*[F.col(f"{side}{n}").alias(n) for n in values]).alias(f"_edge{side}") for side in sides]
     )
-    edge = edge.select(key, _BUCKET, F.struct(time, *payload).alias("_edge"))
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = {
+        side: Window.partitionBy(key)
+        .orderBy(F.col(_BUCKET) if side == "_back" else F.col(_BUCKET).desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+        for side in sides
+    }
     carried = (
         left_buckets.select(key, _BUCKET, F.lit(True).alias("_wanted"))
-        .join(edge, [key, _BUCKET], "full_outer")
-        .withColumn("_carry", F.last("_edge", ignorenulls=True).over(before))
-        .filter(F.col("_wanted") & F.col("_carry").isNotNull())
+        .join(edges, [key, _BUCKET], "full_outer")
+        .withColumns({f"_carry{s}": F.last(f"_edge{s}", ignorenulls=True).over(seen[s]) for s in sides})
+        .filter("_wanted")
+        .select(key, _BUCKET, F.explode(F.array(*[f"_carry{s}" for s in sides])).alias("_carry"))
+        .filter(F.col("_carry").isNotNull())
         .select(key, _BUCKET, "_carry.*")
     )
     return home.unionByName(carried)
 
 
-def _nearest_side(
-    left: DataFrame, right: DataFrame, key: str, time: str, payload: Sequence[str], back: bool, name: str
-) -> DataFrame:
-    """Adds ``name``: the closest right row at or before (at or after) each left row, in one sorted pass."""
-    found = F.struct(F.col(time).alias(_WHEN), *payload)
-    tagged = right.select(key, _BUCKET, time, F.lit(1).alias(_SIDE), found.alias("_found"))
-    both = left.withColumn(_SIDE, F.lit(0)).unionByName(tagged, allowMissingColumns=True)
-    order = [F.col(time) if back else F.col(time).desc(), F.col(_SIDE).desc()]
-    seen = Window.partitionBy(key, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        both.withColumn(name, F.last("_found", ignorenulls=True).over(seen))
-        .filter(F.col(_SIDE) == 0)
-        .drop(_SIDE, "_found")
-    )
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -105,17 +101,29 @@ def asof_join(
 
     seconds = max(bucket_seconds, tolerance_seconds or 0)
     columns = left.columns
-    result = left.withColumn(_BUCKET, time_bucket(time, seconds))
-    buckets = left.select(key, time_bucket(time, seconds).alias(_BUCKET)).distinct()
     sides = {"backward": ["_back"], "forward": ["_ahead"], "nearest": ["_back", "_ahead"]}[direction]
+    right = _reduced(right, key, time, payload, tie, sides)
+    if tolerance_seconds is None:
+        buckets = left.select(key, time_bucket(time, seconds).alias(_BUCKET)).distinct()
+        right = _unlimited(right, buckets, key, time, seconds, sides)
+    else:
+        right = _within_tolerance(right, time, seconds, tolerance_seconds, sides)
+    found = [
+        F.struct(F.col(time).alias(_WHEN), *[F.col(f"{side}_{n}").alias(n) for n in payload]).alias(f"_found{side}")
+        for side in sides
+    ]
+    both = left.withColumns({_SIDE: F.lit(0), _BUCKET: time_bucket(time, seconds)}).unionByName(
+        right.select(key, _BUCKET, time, F.lit(1).alias(_SIDE), *found), allowMissingColumns=True
+    )
+    passes = {
+        side: Window.partitionBy(key, _BUCKET)
+        .orderBy(F.col(time) if side == "_back" else F.col(time).desc(), F.col(_SIDE).desc())
+        .rowsBetween(Window.unboundedPreceding, 0)
+        for side in sides
+    }
     for side in sides:
-        back = side == "_back"
-        one_each = _reduced(right, key, time, payload, tie, last=back)
-        if tolerance_seconds is None:
-            reachable = _unlimited(one_each, buckets, key, time, payload, seconds, back)
-        else:
-            reachable = _within_tolerance(one_each, key, time, seconds, tolerance_seconds, back)
-        result = _nearest_side(result, reachable, key, time, payload, back, side)
+        both = both.withColumn(side, F.last(f"_found{side}", ignorenulls=True).over(passes[side])).drop(f"_found{side}")
+    result = both.filter(F.col(_SIDE) == 0)
 
     gap = {side: F.abs(_micros(time) - F.unix_micros(F.col(f"{side}.{_WHEN}"))) for side in sides}
     if direction == "nearest":

@@ -24,7 +24,7 @@ MONEY_FLOW_ZERO = 1.0
 CCI_SCALE = 0.015
 
 # Window sums over more rows than this are taken as a difference of running sums.
-LONG_WINDOW = 64
+LONG_WINDOW = 32
 
 # Phases: LOOK..MIX and AFTER are window passes, SCAN and SCAN_AGAIN are recursions, OUTPUT is a projection.
 # A result is finished in the earliest phase that can, so that its inputs are pruned from the later passes.
@@ -57,6 +57,15 @@ def _lag(laid: Laid, value: Column | str, rows: int) -> Column:
     return F.lag(value, rows).over(laid.window)
 
 
+def _seed(laid: Laid, value: Column, first: int, count: int) -> Column:
+    """Mean of ``count`` values from row ``first`` on, as seen from the row where they are complete.
+
+    A running sum of those rows: one step per row, where a sliding mean would take ``count``.
+    """
+    chosen = F.when(F.col(ROW).between(first, first + count - 1), value)
+    return F.sum(chosen).over(laid.running) / count
+
+
 def _seeded(seed_row: int, seed: Column, weight: float, value: Column) -> Scan:
     """Exponential average of ``value`` that starts from ``seed`` at ``seed_row``."""
     inflow = F.when(F.col(ROW) == seed_row, seed).when(F.col(ROW) > seed_row, value * weight).otherwise(0.0)
@@ -81,8 +90,8 @@ def ema_recipe(laid: Laid, period: int = 20) -> Recipe:
     return Recipe(
         (f"EMA{period}",),
         {
-            LOOK: {f"_mean{period}": F.avg("close").over(laid.last_rows(period))},
-            SCAN: {name: _seeded(period - 1, F.col(f"_mean{period}"), 2 / (period + 1), F.col("close"))},
+            LOOK: {f"_seed{period}": _seed(laid, F.col("close"), 0, period)},
+            SCAN: {name: _seeded(period - 1, F.col(f"_seed{period}"), 2 / (period + 1), F.col("close"))},
             AFTER: {f"EMA{period}": _from_row(period - 1, F.col(name))},
         },
     )
@@ -113,8 +122,8 @@ def rsi_recipe(laid: Laid, period: int = 14) -> Recipe:
             LOOK: {"_close_1": _lag(laid, "close", 1)},
             DERIVE: {"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))},
             MIX: {
-                "_gain_seed": F.avg(F.when(F.col(ROW) > 0, F.col("_gain"))).over(laid.last_rows(period)),
-                "_loss_seed": F.avg(F.when(F.col(ROW) > 0, F.col("_loss"))).over(laid.last_rows(period)),
+                "_gain_seed": _seed(laid, F.col("_gain"), 1, period),
+                "_loss_seed": _seed(laid, F.col("_loss"), 1, period),
             },
             SCAN: {
                 "_avg_gain": _seeded(period, F.col("_gain_seed"), 1 / period, F.col("_gain")),
@@ -133,14 +142,14 @@ def macd_recipe(laid: Laid, fast: int = 12, slow: int = 26, signal: int = 9) ->
         ("MACD", "Signal"),
         {
             LOOK: {
-                f"_mean{fast}": F.avg("close").over(laid.last_rows(fast)),
-                f"_mean{slow}": F.avg("close").over(laid.last_rows(slow)),
+                "_macd_fast_seed": _seed(laid, F.col("close"), slow - fast, fast),
+                "_macd_slow_seed": _seed(laid, F.col("close"), 0, slow),
             },
             SCAN: {
-                "_macd_fast": _seeded(start, F.col(f"_mean{fast}"), 2 / (fast + 1), F.col("close")),
-                "_macd_slow": _seeded(start, F.col(f"_mean{slow}"), 2 / (slow + 1), F.col("close")),
+                "_macd_fast": _seeded(start, F.col("_macd_fast_seed"), 2 / (fast + 1), F.col("close")),
+                "_macd_slow": _seeded(start, F.col("_macd_slow_seed"), 2 / (slow + 1), F.col("close")),
             },
-            AFTER: {"_macd": gap, "_signal_seed": F.avg(gap).over(laid.last_rows(signal))},
+            AFTER: {"_macd": gap, "_signal_seed": _seed(laid, gap, start, signal)},
             SCAN_AGAIN: {"_signal": _seeded(shown, F.col("_signal_seed"), 2 / (signal + 1), F.col("_macd"))},
             OUTPUT: {
                 "MACD": _from_row(shown, F.col("_macd")),
@@ -199,7 +208,7 @@ def atr_recipe(laid: Laid, period: int = 14) -> Recipe:
         {
             LOOK: {"_close_1": _lag(laid, "close", 1)},
             DERIVE: {"_true_range": F.when(F.col(ROW) > 0, true_range)},
-            MIX: {"_range_seed": F.avg("_true_range").over(laid.last_rows(period))},
+            MIX: {"_range_seed": _seed(laid, F.col("_true_range"), 1, period)},
             SCAN: {"_atr": _seeded(period, F.col("_range_seed"), 1 / period, F.col("_true_range"))},
             AFTER: {"ATR": _from_row(period, F.col("_atr"))},
         },
@@ -229,23 +238,35 @@ def mfi_recipe(laid: Laid, period: int = 14) -> Recipe:
     )
 
 
+def _stretches(rows: int, step: int) -> list[int]:
+    """Lags at which stretches of ``step`` rows, overlapping where they must, cover the last ``rows`` rows."""
+    return [*range(0, rows - step, step), rows - step]
+
+
 def ichimoku_recipe(laid: Laid, periods: tuple[int, int, int] = (9, 26, 52)) -> Recipe:
+    """Middles of three ranges. The longer ranges are put together from lags of the shortest one's extremes."""
     conversion, base, long = periods
 
     def middle(rows: int) -> Column:
-        frame = laid.last_rows(rows)
-        return (F.max("high").over(frame) + F.min("low").over(frame)) / 2
+        lags = [j for j in _stretches(rows, conversion) if j > 0]
+        top = F.greatest("_top", *[_lag(laid, "_top", j) for j in lags])
+        bottom = F.least("_bottom", *[_lag(laid, "_bottom", j) for j in lags])
+        return (top + bottom) / 2
 
     return Recipe(
         ("Tenkan", "Kijun", "SenkouA", "SenkouB", "Chikou"),
         {
             LOOK: {
-                "_tenkan": middle(conversion),
-                "_kijun": middle(base),
-                "_middle_long": middle(long),
+                "_top": F.max("high").over(laid.last_rows(conversion)),
+                "_bottom": F.min("low").over(laid.last_rows(conversion)),
                 "Chikou": F.lead("close", base).over(laid.window),
             },
             DERIVE: {
+                "_tenkan": (F.col("_top") + F.col("_bottom")) / 2,
+                "_kijun": middle(base),
+                "_middle_long": middle(long),
+            },
+            MIX: {
                 "Tenkan": _from_row(conversion - 1, F.col("_tenkan")),
                 "Kijun": _from_row(base - 1, F.col("_kijun")),
                 "SenkouA": _from_row(
@@ -421,5 +442,5 @@ def all_features(laid: Laid) -> Laid:
     ]
     bars = laid.frame.columns
     done = run_recipes(laid, recipes).with_columns({"PP": _typical()})
-    done = parabolic_sar(on_balance_volume(done))
+    done = parabolic_sar(on_balance_volume(done), bars=laid)
     return replace(done, frame=done.frame.select(*bars, *FEATURES))

@@ -134,17 +134,21 @@ def _agreed_states(laid: Laid, step: float, limit: float) -> DataFrame:
         states = cut_lineage(kept.unionByName(again))
 
 
-def parabolic_sar(laid: Laid, step: float = 0.02, limit: float = 0.2) -> Laid:
-    """Adds PSAR. Runs a job at call time: the blocks of long series have to agree on their states first."""
+def parabolic_sar(laid: Laid, step: float = 0.02, limit: float = 0.2, bars: Laid | None = None) -> Laid:
+    """Adds PSAR. Where a series is longer than a block this runs jobs at call time, since blocks have to agree on
+    their states first; ``bars`` may name the layout before other columns were added, to keep those jobs small.
+    """
     laid.require(back=2)
-    states = _agreed_states(laid, step, limit).select(laid.key, BLOCK, *ENTRY)
-    frame = laid.join_blocks(states).frame
-    names = laid.frame.columns
+    names, frame = laid.frame.columns, laid.frame
+    bars = bars or laid
+    if bars.has_long_series():
+        states = _agreed_states(bars, step, limit).select(laid.key, BLOCK, *ENTRY)
+        frame = laid.join_blocks(states).frame
     schema = T.StructType([laid.frame.schema[n] for n in names] + [T.StructField("PSAR", T.DoubleType())])
-    block, entry_names = laid.block, ENTRY
+    block, entry_names, joined = laid.block, ENTRY, frame is not laid.frame
 
     def stops(table: pa.Table) -> pa.Table:
-        start = tuple(table.column(name)[0].as_py() for name in entry_names)
+        start = tuple(table.column(name)[0].as_py() for name in entry_names) if joined else (None,)
         table, out, _, _ = run_block(table, block, step, limit, None if start[0] is None else start)
         return table.select(names).append_column("PSAR", pa.array(out, pa.float64()))
 

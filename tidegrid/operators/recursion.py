@@ -41,30 +41,34 @@ def run_scans(laid: Laid, scans: Mapping[str, Scan]) -> Laid:
         if not SMALLEST_DECAY < scan.decay < 1:
             raise ValueError(f"decay {scan.decay} is outside ({SMALLEST_DECAY:.3f}, 1)")
         laid.require(back=history_rows(scan.decay))
-    offset = (F.col(ROW) - F.col(SUB) * SEGMENT).cast("double")
+    offset = F.col(ROW) - F.col(SUB) * SEGMENT
     at_end = offset == SEGMENT - 1
-
-    def power(decay: float, exponent: Column) -> Column:
-        return F.pow(F.lit(decay), exponent)
-
+    # d^o once per row and decay, as columns of their own.
+    decays = sorted({scan.decay for scan in scans.values()})
+    power = {decay: f"_power_{i}" for i, decay in enumerate(decays)}
+    local = {name: f"_{name}_local" for name in scans}
+    laid = laid.with_columns({power[d]: F.pow(F.lit(d), offset.cast("double")) for d in decays})
     laid = laid.with_columns(
         {
-            name: F.sum(scan.inflow * power(scan.decay, -offset)).over(laid.segment)
-            * power(scan.decay, offset)
+            local[name]: F.sum(scan.inflow / F.col(power[scan.decay])).over(laid.segment) * F.col(power[scan.decay])
             for name, scan in scans.items()
         }
     )
-    local = {name: f"_{name}_local" for name in scans}
-    laid = laid.with_columns({local[name]: F.col(name) for name in scans})
     passes = {name: math.ceil(history_rows(scan.decay) / SEGMENT) for name, scan in scans.items()}
+    latest = dict(local)
     for turn in range(max(passes.values())):
         live = [name for name in scans if passes[name] > turn]
+        carried = {
+            name: F.coalesce(
+                F.last(F.when(at_end, F.col(latest[name])), ignorenulls=True).over(laid.before), F.lit(0.0)
+            )
+            for name in live
+        }
         laid = laid.with_columns(
             {
-                name: F.col(local[name])
-                + power(scans[name].decay, offset + 1)
-                * F.coalesce(F.last(F.when(at_end, F.col(name)), ignorenulls=True).over(laid.before), F.lit(0.0))
+                name: F.col(local[name]) + F.col(power[scans[name].decay]) * scans[name].decay * carried[name]
                 for name in live
             }
         )
-    return laid.drop(*local.values())
+        latest |= {name: name for name in live}
+    return laid.drop(*local.values(), *power.values())

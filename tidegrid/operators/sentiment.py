@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidegrid.functions.text import (
     CLASSES,
     argmax_label,
+    article_tokens,
     headline_pad,
-    prepare_text,
     softmax,
     strip_html,
     tokens,
@@ -24,22 +24,22 @@ from tidegrid.functions.times import floor_minute
 
 
 def lexicon_scores(
-    articles: DataFrame, lexicon: DataFrame, text: Column | str, keep: Sequence[str], article: str = "article_id"
+    articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str], article: str = "article_id"
 ) -> DataFrame:
-    """Per article the summed weights of its words by class, and the probabilities made of them.
+    """Per article the summed weights of its ``words`` by class, and the probabilities made of them.
 
     An article's words all come from its own row, so summing them before the shuffle leaves one row per article. The
     lexicon is joined without a hint: Spark broadcasts it while it is below the broadcast threshold, and otherwise
     shuffles and splits frequent words. Sums are rounded to nine digits, so that they do not depend on the order of
     addition and equal ones tie.
     """
-    words = articles.select(article, *keep, F.explode_outer(tokens(text)).alias("word"))
+    listed = articles.select(article, *keep, F.explode_outer(words).alias("word"))
     weights = lexicon.groupBy("word").agg(
         *[F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
     )
     scores = [f"score_{name}" for name in CLASSES]
     summed = (
-        words.join(weights, "word", "left")
+        listed.join(weights, "word", "left")
         .groupBy(article, *keep)
         .agg(*[F.round(F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))), 9).alias(s) for c, s in zip(CLASSES, scores, strict=True)])
     )
@@ -63,9 +63,9 @@ def sentiment_series(articles: DataFrame, lexicon: DataFrame, max_tokens: int |
         "symbol",
         floor_minute("created_at").alias("t"),
         headline_pad("headline").alias("headline"),
-        prepare_text("headline", strip_html("content"), max_tokens).alias("_text"),
+        article_tokens("headline", strip_html("content"), max_tokens).alias("_words"),
     )
-    scored = lexicon_scores(prepared, lexicon, "_text", ["symbol", "t", "headline"])
+    scored = lexicon_scores(prepared, lexicon, F.col("_words"), ["symbol", "t", "headline"])
     return scored.select("symbol", "t", "article_id", *CLASSES, "headline")
 
 
@@ -74,7 +74,7 @@ def labelled_articles(articles: DataFrame, lexicon: DataFrame, clean) -> DataFra
     cleaned = articles.select(
         "article_id", "created_at", clean(F.col("headline")).alias("headline"), clean(F.col("content")).alias("content")
     ).filter(F.length("content") > 0)
-    scored = lexicon_label(lexicon_scores(cleaned, lexicon, "content", []))
+    scored = lexicon_label(lexicon_scores(cleaned, lexicon, tokens("content"), []))
     return cleaned.join(scored.select("article_id", "sentiment"), "article_id").select(
         "created_at", "headline", "content", "sentiment"
     )

@@ -39,6 +39,12 @@ class Laid:
     block: int
     back: int
     ahead: int
+    sizes: DataFrame | None = None  # length of every series, cheaper to read than the frame
+
+    def has_long_series(self) -> bool:
+        """Whether any series takes more than one block. Runs a job over the series' lengths."""
+        lengths = self.frame if self.sizes is None else self.sizes
+        return not lengths.filter(F.col(ROWS) > self.block).isEmpty()
 
     @property
     def window(self) -> WindowSpec:
@@ -112,6 +118,10 @@ def time_bucket(time: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(time)) / F.lit(seconds * 1_000_000))
 
 
+def _bucket_counts(df: DataFrame, key: str, bucket: Column) -> DataFrame:
+    return df.select(key, bucket.alias("_bucket")).groupBy(key, "_bucket").agg(F.count("*").alias("_count"))
+
+
 def number_rows(
     df: DataFrame,
     key: str = "symbol",
@@ -125,7 +135,7 @@ def number_rows(
     the bucket so that it holds some ten thousand rows of the busiest series.
     """
     bucket = time_bucket(time, bucket_seconds)
-    counts = df.select(key, bucket.alias("_bucket")).groupBy(key, "_bucket").agg(F.count("*").alias("_count"))
+    counts = _bucket_counts(df, key, bucket)
     series = Window.partitionBy(key)
     earlier = series.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -170,4 +180,5 @@ def lay_out(
     back: int = DEFAULT_BACK,
     ahead: int = DEFAULT_AHEAD,
 ) -> Laid:
-    return cut(number_rows(df, key, time, ties, bucket_seconds), key, time, block, back, ahead)
+    laid = cut(number_rows(df, key, time, ties, bucket_seconds), key, time, block, back, ahead)
+    return replace(laid, sizes=df.groupBy(key).agg(F.count("*").alias(ROWS)))

@@ -84,8 +84,9 @@ def _round(columns: Sequence[str], digits: int = DIGITS) -> str:
 
 
 def _shown(value: str, digits: int = DIGITS) -> str:
-    """Rounded with the nudge of the queries' own rounding."""
-    return f"round({value} + {3 * 10.0 ** -(digits + 3)!r}, {digits}) + 0.0"
+    """Rounded in the same steps as the queries."""
+    scale = f"{10.0**digits:.1e}"
+    return f"floor(({value}) * {scale} + 5.03e-1) / {scale}"
 
 
 def _roll(function: str, value: str, rows: int) -> str:
@@ -391,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
     sql["combined_features"] = _combined()
     for name in ("scan_bars", "union_pages", "bars_sink", "resample_bars", "sort_time", "stream_bars"):
         sql[name] = f"WITH {BARS} {_bar_select('bars')}"
-    sql["scan_bars"] = sql["scan_bars"].replace("SELECT symbol, t, round", "SELECT upper(symbol) AS symbol, t, round")
+    sql["scan_bars"] = sql["scan_bars"].replace("SELECT symbol, t, floor", "SELECT upper(symbol) AS symbol, t, floor")
     sql["resample_coarser"] = (
         f"WITH {TICKS}, coarse AS ({_bars_sql('time_bucket(INTERVAL 4 HOUR, ts)')} FROM ticks GROUP BY 1, 2) {_bar_select('coarse')}"
     )

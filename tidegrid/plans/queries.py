@@ -52,15 +52,16 @@ def register(query: Query) -> Query:
 def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = DIGITS) -> DataFrame:
     """Rounded doubles and zone-free times, the form in which results are compared.
 
-    The nudge decides values that end exactly halfway, which two engines may round differently.
+    Rounding is one multiplication, floor and division, the same in every engine; the little more than a half decides
+    values that end exactly halfway.
     """
-    nudge = 3 * 10.0 ** -(digits + 3)
+    scale = F.lit(10.0**digits)
     shown = []
     for field in df.schema.fields:
         column = F.col(field.name)
         if columns is None or field.name in columns:
             if isinstance(field.dataType, T.DoubleType):
-                column = F.round(column + F.lit(nudge), digits) + F.lit(0.0)
+                column = F.floor(column * scale + F.lit(0.503)) / scale
             elif isinstance(field.dataType, T.TimestampType):
                 column = column.cast("timestamp_ntz")
             shown.append(column.alias(field.name))
@@ -265,13 +266,13 @@ def argmax_label(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def sentiment_lexicon(spark: SparkSession, folder: str) -> DataFrame:
-    scored = sentiment.lexicon_scores(market.articles(spark, folder), lexicon(spark), "content", [])
+    scored = sentiment.lexicon_scores(market.articles(spark, folder), lexicon(spark), text.tokens("content"), [])
     return rounded(scored, ["article_id", *text.CLASSES])
 
 
 @register
 def sentiment_label(spark: SparkSession, folder: str) -> DataFrame:
-    scored = sentiment.lexicon_scores(market.articles(spark, folder), lexicon(spark), "content", [])
+    scored = sentiment.lexicon_scores(market.articles(spark, folder), lexicon(spark), text.tokens("content"), [])
     return sentiment.lexicon_label(scored).select("article_id", "sentiment")
 
 
