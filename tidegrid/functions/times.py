@@ -24,7 +24,7 @@ def parse_utc(text: Column | str) -> Column:
 
 def parse_utc_strict(text: Column | str) -> Column:
     """Exactly ``YYYY-MM-DDTHH:MM:SSZ``; anything else is an error."""
-    return F.to_timestamp(_col(text), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.to_timestamp(_col(text), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def iso_eastern(t: Column | str) -> Column:

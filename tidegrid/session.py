@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Fixed value: the JVM does not compile methods above this size, so wide projections are better split up.
+JVM_METHOD_LIMIT = "8000"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every operator assumes: UTC instants, adaptive plans, a shared checkpoint folder."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JVM_METHOD_LIMIT)
     checkpoint_dir(spark)
     return spark
 
