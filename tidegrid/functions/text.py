@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,12 +41,9 @@ def strip_html(text: Column | str) -> Column:
 
 
 def _entity_names() -> Column:
-    """The named character references of HTML 4, from the standard library's table."""
-    pairs = []
-    for name, point in sorted(name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(point))]
-    pairs += [F.lit("apos"), F.lit("'")]
-    return F.create_map(*pairs)
+    """The common named character references and their characters, from the standard library's tables."""
+    names = sorted({*name2codepoint, "apos"})
+    return F.create_map(*[F.lit(part) for name in names for part in (name, html5[f"{name};"])])
 
 
 def decode_entities(text: Column | str) -> Column:
