@@ -25,7 +25,9 @@ def _col(value: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+    """White space off both ends, all of Unicode's."""
+    spaces = "".join(chr(point) for point in range(0x3001) if chr(point).isspace())
+    return F.btrim(_col(text), F.lit(spaces))
 
 
 def strip_html(text: Column | str) -> Column:

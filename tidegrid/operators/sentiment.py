@@ -23,27 +23,69 @@ from tidegrid.functions.text import (
 from tidegrid.functions.times import floor_minute
 
 
+SMALL_LEXICON = 10_000
+
+
+def small_lexicon(lexicon: DataFrame, limit: int = SMALL_LEXICON) -> list | None:
+    """The lexicon's rows if there are at most ``limit``, else nothing. Never reads more than that."""
+    rows = lexicon.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def row_sums(lexicon_rows: list, found: Column) -> dict[str, Column]:
+    """Summed weights by class of an array of words, each word looked up in sets within the row."""
+    groups: dict[tuple[str, float], list[str]] = {}
+    for word, name, weight in lexicon_rows:
+        groups.setdefault((name, weight), []).append(word)
+
+    def hits(listed: list[str]) -> Column:
+        return F.size(F.filter(found, lambda word: word.isin(listed)))
+
+    sums = {}
+    for name in CLASSES:
+        parts = [hits(listed) * F.lit(weight) for (cls, weight), listed in groups.items() if cls == name]
+        sums[f"score_{name}"] = F.round(F.coalesce(sum(parts, F.lit(0.0)), F.lit(0.0)), 9)
+    return sums
+
+
+def _scores_in_rows(articles: DataFrame, rows: list, words: Column, keep: Sequence[str]) -> DataFrame:
+    """No shuffle: the few words that matter are picked first, then weighed."""
+    listed = sorted({row[0] for row in rows})
+    picked = articles.select(*keep, F.filter(words, lambda word: word.isin(listed)).alias("_picked"))
+    return picked.withColumns(row_sums(rows, F.col("_picked"))).drop("_picked")
+
+
+def _scores_by_join(articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str]) -> DataFrame:
+    """An article's words all come from its own row, so summing them before the shuffle leaves one row per article.
+    Spark broadcasts the lexicon while it is below the broadcast threshold, and otherwise splits frequent words."""
+    listed = articles.select(*keep, F.explode_outer(words).alias("word"))
+    weights = lexicon.groupBy("word").agg(
+        *[F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
+    )
+    sums = [F.round(F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))), 9).alias(f"score_{c}") for c in CLASSES]
+    return listed.join(weights, "word", "left").groupBy(*keep).agg(*sums)
+
+
 def lexicon_scores(
-    articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str], article: str = "article_id"
+    articles: DataFrame,
+    lexicon: DataFrame,
+    words: Column,
+    keep: Sequence[str] = (),
+    article: str = "article_id",
+    small: int = SMALL_LEXICON,
 ) -> DataFrame:
     """Per article the summed weights of its ``words`` by class, and the probabilities made of them.
 
-    An article's words all come from its own row, so summing them before the shuffle leaves one row per article. The
-    lexicon is joined without a hint: Spark broadcasts it while it is below the broadcast threshold, and otherwise
-    shuffles and splits frequent words. Sums are rounded to nine digits, so that they do not depend on the order of
-    addition and equal ones tie.
+    A lexicon of at most ``small`` rows is looked up within the rows; a larger one is joined. Sums are rounded to nine
+    digits, so that they do not depend on the order of addition and equal ones tie.
     """
-    listed = articles.select(article, *keep, F.explode_outer(words).alias("word"))
-    weights = lexicon.groupBy("word").agg(
-        *[F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
-    )
-    scores = [f"score_{name}" for name in CLASSES]
-    summed = (
-        listed.join(weights, "word", "left")
-        .groupBy(article, *keep)
-        .agg(*[F.round(F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))), 9).alias(s) for c, s in zip(CLASSES, scores, strict=True)])
-    )
-    chances = softmax([F.col(s) for s in scores])
+    rows = small_lexicon(lexicon, small)
+    columns = [article, *keep]
+    if rows is None:
+        summed = _scores_by_join(articles, lexicon, words, columns)
+    else:
+        summed = _scores_in_rows(articles, rows, words, columns)
+    chances = softmax([F.col(f"score_{name}") for name in CLASSES])
     return summed.withColumns(dict(zip(CLASSES, chances, strict=True)))
 
 
@@ -74,10 +116,8 @@ def labelled_articles(articles: DataFrame, lexicon: DataFrame, clean) -> DataFra
     cleaned = articles.select(
         "article_id", "created_at", clean(F.col("headline")).alias("headline"), clean(F.col("content")).alias("content")
     ).filter(F.length("content") > 0)
-    scored = lexicon_label(lexicon_scores(cleaned, lexicon, tokens("content"), []))
-    return cleaned.join(scored.select("article_id", "sentiment"), "article_id").select(
-        "created_at", "headline", "content", "sentiment"
-    )
+    scored = lexicon_label(lexicon_scores(cleaned, lexicon, tokens("content"), ["created_at", "headline", "content"]))
+    return scored.select("created_at", "headline", "content", "sentiment")
 
 
 def class_labels(labels: DataFrame) -> DataFrame:

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.functions.text import CLASSES, softmax, strip_html, tokens
+from tidegrid.functions.text import CLASSES, article_tokens, strip_html
 from tidegrid.operators.resample import resample_ticks
+from tidegrid.operators.sentiment import SMALL_LEXICON, lexicon_scores, small_lexicon
 from tidegrid.session import scratch_path
 from tidegrid.sources.market import document_articles, event_ticks
 
-MAX_STREAM_LEXICON = 10_000
-
-
 def follow_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A warehouse table as a file stream with its own schema."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -58,34 +56,17 @@ def bars_to_table(
     return latest_rows(spark, path, ["symbol", "t"])
 
 
-def row_scores(lexicon: DataFrame, text: Column) -> dict[str, Column]:
-    """Class probabilities of a text within its row, for streams: the lexicon's words become set look-ups.
+def stream_sentiment(articles: DataFrame, lexicon: DataFrame, delay: str) -> DataFrame:
+    """Per symbol and minute the number of articles and their mean class scores; repeated articles count once.
 
-    The lexicon is a small table; one with more than ``MAX_STREAM_LEXICON`` words is refused.
+    The lexicon has to be a small one: a stream scores within its rows.
     """
-    words = lexicon.limit(MAX_STREAM_LEXICON + 1).collect()
-    if len(words) > MAX_STREAM_LEXICON:
-        raise ValueError(f"lexicon has more than {MAX_STREAM_LEXICON} words")
-    groups: dict[tuple[str, float], list[str]] = {}
-    for word, name, weight in words:
-        groups.setdefault((name, weight), []).append(word)
-    found = tokens(text)
-
-    def hits(listed: list[str]) -> Column:
-        return F.size(F.filter(found, lambda word: word.isin(listed)))
-
-    scores = []
-    for name in CLASSES:
-        parts = [hits(listed) * F.lit(weight) for (cls, weight), listed in groups.items() if cls == name]
-        scores.append(sum(parts, F.lit(0.0)))
-    return dict(zip(CLASSES, softmax(scores), strict=True))
-
-
-def stream_sentiment(articles: DataFrame, lexicon: DataFrame, delay: str) -> DataFrame:
-    """Per symbol and minute the number of articles and their mean class scores; repeated articles count once."""
+    rows = small_lexicon(lexicon)
+    if rows is None:
+        raise ValueError(f"lexicon has more than {SMALL_LEXICON} words")
     once = articles.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["article_id"])
-    text = F.concat_ws(" ", F.col("headline"), strip_html("content"))
-    scored = once.withColumns(row_scores(lexicon, text))
+    words = article_tokens("headline", strip_html("content"))
+    scored = lexicon_scores(once, lexicon, words, ["symbol", "created_at"])
     return scored.groupBy("symbol", F.window("created_at", "1 minute").alias("_minute")).agg(
         F.count("*").alias("articles"), *[F.avg(name).alias(name) for name in CLASSES]
     )
