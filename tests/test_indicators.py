@@ -148,7 +148,8 @@ def test_fills(spark, block):
     assert shown["f"] == [None, None, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, *none]
     assert shown["b"] == [1, 1, 1, 2, 2, 2, 3, 3, 3, 3, None, None, *none]
     assert shown["fb"] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, *none]
-    zeroed = collected(fill.zero_without_articles(laid, ["vw"]))
+    articles = spark.createDataFrame([("A",), ("A",)], "symbol string")
+    zeroed = fill.zero_without_articles(laid.rows(), articles, ["vw"]).orderBy("symbol", "t").collect()
     assert [r["vw"] for r in zeroed] == [*values, 0.0, 0.0, 0.0]
 
 

@@ -102,7 +102,7 @@ def asof_join(
     seconds = max(bucket_seconds, tolerance_seconds or 0)
     columns = left.columns
     sides = {"backward": ["_back"], "forward": ["_ahead"], "nearest": ["_back", "_ahead"]}[direction]
-    right = _reduced(right, key, time, payload, tie, sides)
+    right = _reduced(right.dropna(subset=[key, time]), key, time, payload, tie, sides)
     if tolerance_seconds is None:
         buckets = left.select(key, time_bucket(time, seconds).alias(_BUCKET)).distinct()
         right = _unlimited(right, buckets, key, time, seconds, sides)

@@ -77,16 +77,10 @@ def fill(laid: Laid, columns: Sequence[str]) -> Laid:
     return replace(done, frame=done.frame.select(*order))
 
 
-def zero_without_articles(laid: Laid, columns: Sequence[str]) -> Laid:
-    """Zeros for a series that has no articles at all; other series keep their NULLs."""
-    order = laid.frame.columns
-    known = [F.count(name).alias(f"_known_{name}") for name in columns]
-    series = laid.blocks_all()
-    table = laid.summary(known).select(
-        laid.key, BLOCK, *[(F.sum(f"_known_{n}").over(series) == 0).alias(f"_none_{n}") for n in columns]
-    )
-    done = laid.join_blocks(table).with_columns(
-        {n: F.when(F.col(f"_none_{n}"), F.lit(0.0)).otherwise(F.col(n)) for n in columns}
-    )
-    return replace(done, frame=done.frame.select(*order))
-
+def zero_without_articles(
+    df: DataFrame, articles: DataFrame, columns: Sequence[str], key: str = "symbol"
+) -> DataFrame:
+    """Zeros for a series that has no articles at all; a series with articles keeps its NULLs."""
+    known = articles.select(key).distinct().withColumn("_has_articles", F.lit(True))
+    zero = F.when(F.col("_has_articles").isNull(), F.lit(0.0))
+    return df.join(known, key, "left").withColumns({n: F.coalesce(F.col(n), zero) for n in columns}).drop("_has_articles")

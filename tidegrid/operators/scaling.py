@@ -30,11 +30,12 @@ def _scaled(name: str) -> Column:
     return F.when(high == low, constant).otherwise(F.try_divide(value - low, high - low))
 
 
-def minmax_scale(laid: Laid, columns: Sequence[str], fit_rows: Column | None = None) -> Laid:
+def minmax_scale(laid: Laid, columns: Sequence[str], fit_rows: Column | None = None, base: Laid | None = None) -> Laid:
     """Each column to [0, 1] over its series; a constant column becomes 0, NULL stays NULL.
 
     ``fit_rows`` limits the fit to the leading rows of the series, so that nothing is learned from the test part.
     Every block reports its extremes, the extremes of a series are taken over its blocks and come back per block.
+    ``base`` may name a layout to read them from, such as a stored one whose columns have only been filled since.
     """
     fitted = F.lit(True) if fit_rows is None else F.col(ROW) < fit_rows
     extremes = []
@@ -42,7 +43,7 @@ def minmax_scale(laid: Laid, columns: Sequence[str], fit_rows: Column | None = N
         value = F.when(fitted, F.col(name).cast("double"))
         extremes += [F.min(value).alias(_low(name)), F.max(value).alias(_high(name))]
     series = laid.blocks_all()
-    table = laid.summary(extremes).select(
+    table = (base or laid).summary(extremes).select(
         laid.key,
         BLOCK,
         *[F.min(_low(name)).over(series).alias(_low(name)) for name in columns],

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -46,24 +47,30 @@ class Laid:
         lengths = self.frame if self.sizes is None else self.sizes
         return not lengths.filter(F.col(ROWS) > self.block).isEmpty()
 
-    @property
+    @cached_property
     def window(self) -> WindowSpec:
         return Window.partitionBy(self.key, BLOCK).orderBy(SUB, ROW)
 
     def last_rows(self, count: int) -> WindowSpec:
         """The current row and the ``count - 1`` before it."""
         self.require(back=count - 1)
-        return self.window.rowsBetween(-(count - 1), 0)
+        if count not in self._sliding:
+            self._sliding[count] = self.window.rowsBetween(-(count - 1), 0)
+        return self._sliding[count]
 
-    @property
+    @cached_property
+    def _sliding(self) -> dict[int, WindowSpec]:
+        return {}
+
+    @cached_property
     def running(self) -> WindowSpec:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
-    @property
+    @cached_property
     def before(self) -> WindowSpec:
         return self.window.rowsBetween(Window.unboundedPreceding, -1)
 
-    @property
+    @cached_property
     def segment(self) -> WindowSpec:
         return (
             Window.partitionBy(self.key, BLOCK, SUB)
@@ -132,7 +139,7 @@ def number_rows(
     """Row number and length of every series without sorting a whole series in one task.
 
     Rows are numbered within ``(key, time bucket)`` and shifted by the number of rows in earlier buckets. Choose
-    the bucket so that it holds some ten thousand rows of the busiest series.
+    the bucket so that it holds some ten thousand rows of the busiest series. Rows need a key and a time.
     """
     bucket = time_bucket(time, bucket_seconds)
     counts = _bucket_counts(df, key, bucket)

@@ -23,10 +23,16 @@ def scaled_features(bars: DataFrame) -> Laid:
     """Bars with all indicators, scaled per series and filled forward, then backward.
 
     The features feed two summaries and the result, so they are kept in the shared folder rather than computed thrice.
+    Filling only repeats values a column has, so it may come before the scaling and both can read the kept features.
     """
     laid = indicators.all_features(lay_out(bars))
-    kept = cut(cut_lineage(laid.numbered()), laid.key, laid.time, laid.block, laid.back, laid.ahead)
-    return fill.fill(scaling.minmax_scale(kept, MODEL_COLUMNS), MODEL_COLUMNS)
+    kept = recut(cut_lineage(laid.numbered()), laid)
+    return scaling.minmax_scale(fill.fill(kept, MODEL_COLUMNS), MODEL_COLUMNS, base=kept)
+
+
+def recut(numbered: DataFrame, like: Laid) -> Laid:
+    """Rows that carry their numbers, in blocks of the same geometry."""
+    return cut(numbered, like.key, like.time, like.block, like.back, like.ahead)
 
 
 def combined_features(
@@ -35,8 +41,8 @@ def combined_features(
     """Scaled features with the class scores of the nearest article, carried over the bars between."""
     scaled = scaled_features(bars)
     joined = asof_join(scaled.numbered(), sentiment, list(CLASSES), "nearest", tolerance_seconds)
-    laid = cut(joined, scaled.key, scaled.time, scaled.block, scaled.back, scaled.ahead)
-    return fill.fill(fill.zero_without_articles(laid, CLASSES), CLASSES)
+    joined = fill.zero_without_articles(joined, sentiment, CLASSES, scaled.key)
+    return fill.fill(recut(joined, scaled), CLASSES)
 
 
 @dataclass(frozen=True)
@@ -74,7 +80,7 @@ def train_and_compare(
     One model serves all series, so the features kept are those that were selected for at least half of them.
     """
     table = combined_features(bars, sentiment, tolerance_seconds)
-    kept = cut(cut_lineage(table.numbered()), table.key, table.time, table.block, table.back, table.ahead)
+    kept = recut(cut_lineage(table.numbered()), table)
     candidates = [name for name in MODEL_COLUMNS if name != "close"]
     scores = selection.feature_scores(kept.rows(), candidates, "close")
     chosen = selection.select_features(kept, scores, candidates, "close")
