@@ -34,3 +34,23 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert contract.entry(spark).columns[:2] == ["symbol", "t"]
+
+
+@pytest.mark.parametrize("name", ["asof_nearest", "asof_price", "split_adjust", "news_window", "minmax_scale", "sentiment_series"])
+def test_plans_have_no_pairwise_joins(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_whole_training_job(spark):
+    """Features, nearest articles, ranking, selection, forecast and comparison in one go."""
+    from tidegrid.operators import sentiment
+    from tidegrid.plans import jobs
+    from tidegrid.plans.lexicon import lexicon
+    from tidegrid.sources import market
+
+    scored = sentiment.sentiment_series(market.articles(spark, FOLDER), lexicon(spark))
+    result = jobs.train_and_compare(market.bars(spark, FOLDER), scored, 900)
+    rows = result.metrics().collect()
+    assert len(rows) == 5 and all(r["n"] > 0 and r["mse"] >= 0 for r in rows)
+    assert result.loss().count() == 5

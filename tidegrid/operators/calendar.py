@@ -28,13 +28,16 @@ def session_before_days(calendar: DataFrame, n: int, today: date) -> DataFrame:
     return _nth_from_last(recent, n, "session_date")
 
 
-def news_window(calendar: DataFrame, n: int, today: date) -> DataFrame:
-    """First and last day of the listing's request window, one row: the session 2n back and the last one."""
-    start = session_before_days(calendar, 2 * n, today).withColumnRenamed("session_date", "start_date")
-    end = session_before_days(calendar, 1, today).withColumnRenamed("session_date", "end_date")
-    return start.crossJoin(end)
+def news_window(calendar: DataFrame, n: int, today: date) -> tuple[DataFrame, DataFrame]:
+    """First and last day of the listing's request window, one row each: the session 2n back and the last one."""
+    return session_before_days(calendar, 2 * n, today), session_before_days(calendar, 1, today)
 
 
-def within_sessions(df: DataFrame, day: Column, window: DataFrame) -> DataFrame:
-    """Rows whose day lies in the one-row window."""
-    return df.join(window, day.between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
+def series_window(calendar: DataFrame, n: int, today: date) -> DataFrame:
+    """First day of the sentiment series' request window, which ends now."""
+    return session_before_days(calendar, n, today)
+
+
+def within_sessions(df: DataFrame, day: Column, first: DataFrame, last: DataFrame) -> DataFrame:
+    """Rows whose day lies between two one-row look-ups, which Spark runs first as scalar subqueries."""
+    return df.filter(day.between(first.scalar(), last.scalar()))

@@ -478,6 +478,8 @@ SELECT symbol, {_shown('avg((close - predicted) ** 2)', 9)} AS loss FROM p WHERE
     sql["session_before_days"] = f"WITH {SESSIONS} {_session(10, 5)}"
     sql["news_window"] = f"""WITH {SESSIONS}, {ARTICLES} SELECT article_id, symbol, created_at FROM articles
 WHERE CAST(created_at AS DATE) BETWEEN ({_session(8, 4)}) AND ({_session(2, 1)})"""
+    sql["news_series_window"] = f"""WITH {SESSIONS}, {ARTICLES} SELECT article_id, symbol, created_at FROM articles
+WHERE CAST(created_at AS DATE) BETWEEN ({_session(10, 5)}) AND DATE '2024-01-30'"""
     window = "OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
     sql["sequences"] = f"""WITH {BARS}, s AS (SELECT symbol, t, i, count(*) {window} AS length, first_value(open) {window} AS first_open,
   last_value(v) {window} AS last_v, sum(open + close + v) {window} AS total, close AS y FROM b)

@@ -414,9 +414,18 @@ def session_before_days(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def news_window(spark: SparkSession, folder: str) -> DataFrame:
     """Articles of the listing's window."""
-    window = calendar.news_window(market.trading_sessions(spark, folder), 2, TODAY)
+    first, last = calendar.news_window(market.trading_sessions(spark, folder), 2, TODAY)
     articles = market.articles(spark, folder).select("article_id", "symbol", "created_at")
-    return rounded(calendar.within_sessions(articles, F.to_date("created_at"), window))
+    return rounded(calendar.within_sessions(articles, F.to_date("created_at"), first, last))
+
+
+@register
+def news_series_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles of the sentiment series' window: from the fifth last session until today."""
+    first = calendar.series_window(market.trading_sessions(spark, folder), 5, TODAY)
+    articles = market.articles(spark, folder).select("article_id", "symbol", "created_at")
+    day = F.to_date("created_at")
+    return rounded(articles.filter((day >= first.scalar()) & (day <= F.lit(TODAY))))
 
 
 # -- sequences and splits
