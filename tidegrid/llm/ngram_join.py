@@ -33,6 +33,8 @@ SKETCH_BITS = 21
 SKETCH_PARTS = 64
 #: Sets compared with one hub in one go, and sets of one hub block that are compared with the block's lists.
 PER_HUB = 512
+#: Up to so many sets (16 bytes each) are looked up in a broadcast table; beyond, texts and look-ups are shuffled.
+BROADCAST_SETS = 500_000
 ROWS_PER_BLOCK = 1024
 
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
@@ -40,7 +42,7 @@ _PART = (1 << SKETCH_BITS) // SKETCH_PARTS
 
 PROFILE = "id long, n long, node long, part int, counts binary"
 ENTRY = "gram long, node long, n int, place int"
-LISTED = "gram long, node long, n int, hub long"
+LISTED = "gram long, node long, n int, hub long, members int"
 
 
 def _fingerprint(found: np.ndarray) -> int:
@@ -187,12 +189,18 @@ def _column_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     again[pair[1:]] = (gram[pair][1:] == gram[pair][:-1]) & (node[pair][1:] == node[pair][:-1])
     gram, node, n = gram[~again], node[~again], n[~again]
     first, length = _runs(gram)
-    hub = np.repeat(node[first], length)
-    keep = np.repeat(length > 1, length)
-    gram, node, n, hub = gram[keep], node[keep], n[keep], hub[keep]
+    hub, members = np.repeat(node[first], length), np.repeat(length, length).astype(np.int32)
+    keep = members > 1
+    gram, node, n, hub, members = gram[keep], node[keep], n[keep], hub[keep], members[keep]
     for at in range(0, len(gram), 1 << 16):
         part = slice(at, at + (1 << 16))
-        yield batch_of(gram=pa.array(gram[part]), node=pa.array(node[part]), n=pa.array(n[part]), hub=pa.array(hub[part]))
+        yield batch_of(
+            gram=pa.array(gram[part]),
+            node=pa.array(node[part]),
+            n=pa.array(n[part]),
+            hub=pa.array(hub[part]),
+            members=pa.array(members[part]),
+        )
 
 
 def _needed(a, b, percent: int):
@@ -332,7 +340,9 @@ class NgramJaccardJoin:
         pairs = stored(pairs, f"pairs-{label}")
         both = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
         wanted = self.holders.join(both, "node").select("id", "node")
-        texts = self.documents.join(wanted, "id")
+        wanted = stored(wanted, f"wanted-{label}")
+        few = wanted.count() <= BROADCAST_SETS
+        texts = self.documents.join(F.broadcast(wanted) if few else wanted, "id")
         sets = texts.mapInArrow(_whole_sets(self.size), "node long, grams binary").dropDuplicates(["node"])
         sets = stored(sets, f"sets-{label}")
         sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts"))
@@ -344,17 +354,28 @@ class NgramJaccardJoin:
         return stored(grouped.mapInArrow(_count_overlaps(self.percent), "a long, b long"), f"links-{label}")
 
     def hub_pairs(self, lists: DataFrame) -> DataFrame:
-        """Every set of a list with the list's hub, once, if the sizes allow a link."""
-        sizes = lists.groupBy("hub", "node").agg(F.max("n").alias("n"))
-        own = sizes.filter("hub = node").select("hub", F.col("n").alias("hub_n"))
-        fit = F.expr(f"100 * least(n, hub_n) >= {self.percent} * greatest(n, hub_n)")
-        return sizes.filter("hub <> node").join(own, "hub").filter(fit).select("hub", "node")
+        """Every set of a list with the list's hub, once, if sizes and counts allow a link.
+
+        What two sets share is at most the fewer lists of either and the longer suffix behind the prefixes.
+        """
+        of_pair = lists.filter("hub <> node").select("hub", "node").distinct()
+        of_node = stored(lists.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("lists")), "nodes")
+        hubs = of_node.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("lists").alias("hub_lists"))
+        pairs = of_pair.join(of_node, "node").join(hubs, "hub")
+        share = self.percent
+        fit = F.expr(f"100 * least(n, hub_n) >= {share} * greatest(n, hub_n)")
+        suffix = f"ceil({share} * greatest(n, hub_n) / 100) - 1"
+        needed = f"ceil({share} * (n + hub_n) / {100 + share})"
+        return pairs.filter(fit).filter(f"least(lists, hub_lists) + {suffix} >= {needed}").select("hub", "node")
 
     def cross_pairs(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of sets of different components that share a column and that the counts do not rule out."""
+        """Pairs of sets of different components that share a column and that the counts do not rule out.
+
+        A list of two sets has no pair without its hub, so only longer lists are looked at.
+        """
         lists_of = lists.groupBy("node").agg(F.count("*").alias("lists"))
         about = lists_of.join(roots, "node", "left").select("node", "lists", F.coalesce("root", "node").alias("root"))
-        listed = stored(lists.join(about, "node"), "rooted")
+        listed = stored(lists.filter("members > 2").join(about, "node"), "rooted")
         shares = listed.groupBy("hub", "gram", "root").agg(F.count("*").alias("k"))
         main = shares.groupBy("hub", "gram").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots"))
         mixed = main.filter("roots > 1").select("hub", "gram", F.col("m.root").alias("main"))
