@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm.ngram_join import ngram_jaccard_components
+from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.quality import quality_scores
 from tidegrid.llm.tables import table
+from tidegrid.llm.token_lengths import length_histogram, limits_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,3 +26,18 @@ def register(query: Query) -> Query:
 @register
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, folder, "documents"))
+
+
+@register
+def op8_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return limits_table(length_histogram(table(spark, folder, "documents")))
+
+
+@register
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+@register
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"))

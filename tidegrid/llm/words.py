@@ -55,13 +55,14 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of consecutive texts: hashes, first and last byte, and the range of words of each text."""
+    """The words of consecutive texts: hashes, first and last byte, the range of words and of bytes of each text."""
 
     hashes: np.ndarray
     start: np.ndarray
     end: np.ndarray
     bounds: np.ndarray
     data: np.ndarray
+    text_bounds: np.ndarray
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -101,7 +102,7 @@ class Splitter:
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
         hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        return Words(hashes, start, end, np.searchsorted(start, bounds), data)
+        return Words(hashes, start, end, np.searchsorted(start, bounds), data, bounds)
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
