@@ -24,6 +24,8 @@ SAMPLE_DOCUMENTS = 20_000
 BUCKETS_LOG2 = 14
 #: Documents are kept whose probability of being clean reaches this.
 KEEP_FROM = 0.5
+#: A labeller's junk vote on clean text is taken to be an error that is at most this common.
+MOST_FALSE_ALARMS = 0.005
 
 CLEAN, JUNK, ABSTAIN = 0, 1, 2
 
@@ -166,28 +168,30 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: per class and labeller the chance of each vote, the posterior of junk per pattern, the prior.
+    """EM over vote patterns: per class and labeller the chance of a junk vote, the posterior of junk per pattern, the prior.
 
-    Starts from labellers that are mostly right and a small share of junk, which also decides which class is which.
+    An abstention says nothing about the class. Labellers are specialised, so a clean vote on junk is common, but a junk vote
+    on clean text is an error of at most ``MOST_FALSE_ALARMS``; this also decides which class is which.
     """
     size = len(LABELLERS)
     table = (patterns[:, None] // 3 ** np.arange(size)) % 3
-    chance = np.zeros((2, size, 3))
-    chance[CLEAN] = [0.85, 0.02, 0.13]
-    chance[JUNK] = [0.45, 0.4, 0.15]
+    chance = np.zeros((2, size))
+    chance[CLEAN], chance[JUNK] = MOST_FALSE_ALARMS, 0.3
     prior = 0.1
-    at = np.arange(size)
     weights = counts / max(counts.sum(), 1)
     posterior = np.zeros(len(patterns))
     for _ in range(rounds):
-        junk = np.log(prior) + np.log(chance[JUNK][at, table]).sum(axis=1)
-        clean = np.log1p(-prior) + np.log(chance[CLEAN][at, table]).sum(axis=1)
-        before, posterior = posterior, 1 / (1 + np.exp(np.clip(clean - junk, -500, 500)))
+        evidence = [
+            np.where(table == JUNK, np.log(chance[k]), np.where(table == CLEAN, np.log1p(-chance[k]), 0.0)).sum(axis=1)
+            for k in (CLEAN, JUNK)
+        ]
+        odds = np.log(prior) - np.log1p(-prior) + evidence[JUNK] - evidence[CLEAN]
+        before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         for kind, share in ((JUNK, posterior * weights), (CLEAN, (1 - posterior) * weights)):
-            for vote in (CLEAN, JUNK, ABSTAIN):
-                chance[kind, :, vote] = ((table == vote) * share[:, None]).sum(axis=0) + 1e-4 / 3
-            chance[kind] /= chance[kind].sum(axis=1, keepdims=True)
-        prior = float(np.clip((posterior * weights).sum(), 1e-4, 0.5))
+            against = ((table == JUNK) * share[:, None]).sum(axis=0)
+            both = ((table != ABSTAIN) * share[:, None]).sum(axis=0)
+            chance[kind] = np.clip((against + 1e-6) / (both + 1e-4), 1e-4, MOST_FALSE_ALARMS if kind == CLEAN else 0.99)
+        prior = float(np.clip((posterior * weights).sum(), 1e-3, 0.5))
         if np.abs(posterior - before).max(initial=0) < 1e-9:
             break
     return chance, posterior, prior
