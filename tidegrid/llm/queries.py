@@ -10,6 +10,8 @@ from tidegrid.llm.ngram_join import ngram_jaccard_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.quality import quality_scores
 from tidegrid.llm.tables import table
+from tidegrid.llm.toxicity import fit as fit_toxicity
+from tidegrid.llm.toxicity import toxicity_scores
 from tidegrid.llm.token_lengths import length_histogram, limits_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +43,9 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"))
+
+
+@register
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity_scores(documents, fit_toxicity(documents, table(spark, folder, "labels")))

@@ -63,6 +63,13 @@ class Words:
     bounds: np.ndarray
     data: np.ndarray
     text_bounds: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of the words."""
+        cut = np.minimum(self.start + size, self.end)
+        down = _power_tables(len(self.data) + 1)[1]
+        return mix((self.sums[cut] - self.sums[self.start]) * down[self.start] + np.uint64(1000 + size))
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -102,7 +109,7 @@ class Splitter:
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
         hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-        return Words(hashes, start, end, np.searchsorted(start, bounds), data, bounds)
+        return Words(hashes, start, end, np.searchsorted(start, bounds), data, bounds, sums)
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
