@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegrid.llm.ngram_join import ngram_jaccard_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.quality import quality_scores
+from tidegrid.llm.secrets import secret_scan
 from tidegrid.llm.tables import table
 from tidegrid.llm.toxicity import fit as fit_toxicity
 from tidegrid.llm.toxicity import toxicity_scores
@@ -49,3 +50,8 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return toxicity_scores(documents, fit_toxicity(documents, table(spark, folder, "labels")))
+
+
+@register
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(table(spark, folder, "documents"))
