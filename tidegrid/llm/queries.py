@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm.ngram_join import ngram_jaccard_components
 from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.pii import personal_data
 from tidegrid.llm.quality import quality_scores
 from tidegrid.llm.secrets import secret_scan
 from tidegrid.llm.tables import table
@@ -55,3 +56,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan(table(spark, folder, "documents"))
+
+
+@register
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
