@@ -15,6 +15,7 @@ from tidegrid.llm.tables import table
 from tidegrid.llm.toxicity import fit as fit_toxicity
 from tidegrid.llm.toxicity import toxicity_scores
 from tidegrid.llm.token_lengths import length_histogram, limits_table
+from tidegrid.llm.voronoi import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +62,25 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
+
+
+@register
+def op3_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top_k(table(spark, folder, "embeddings"))
+
+
+ORACLE_SQL["op3_voronoi_top_k"] = """
+WITH points AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+    FROM points q JOIN points d ON q.vec_id <> d.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
