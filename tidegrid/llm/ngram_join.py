@@ -170,37 +170,45 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(keys)]]))
 
 
-def _column_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of columns: the lists of two and more rows, each with its hub."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    gram, node, n, place = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
-    del got
-    order = np.argsort(gram, kind="stable")
-    first, length = _runs(gram[order])
-    several = np.repeat(length > 1, length)
-    order = order[several]
-    order = order[np.lexsort((node[order], place[order], gram[order]))]
-    gram, node, n = gram[order], node[order], n[order]
-    # the same set from several tasks counts once
-    pair = np.lexsort((node, gram))
-    again = np.zeros(len(gram), dtype=bool)
-    again[pair[1:]] = (gram[pair][1:] == gram[pair][:-1]) & (node[pair][1:] == node[pair][:-1])
-    gram, node, n = gram[~again], node[~again], n[~again]
-    first, length = _runs(gram)
-    hub, members = np.repeat(node[first], length), np.repeat(length, length).astype(np.int32)
-    keep = members > 1
-    gram, node, n, hub, members = gram[keep], node[keep], n[keep], hub[keep], members[keep]
-    for at in range(0, len(gram), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        yield batch_of(
-            gram=pa.array(gram[part]),
-            node=pa.array(node[part]),
-            n=pa.array(n[part]),
-            hub=pa.array(hub[part]),
-            members=pa.array(members[part]),
-        )
+def _column_block(percent: int):
+    """One block of columns: the lists of two and more rows, each with its hub.
+
+    A row stays in a list only if some other row of it has a size that allows a link; then its neighbour by size does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        gram, node, n, place = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
+        del got
+        order = np.argsort(gram, kind="stable")
+        length = _runs(gram[order])[1]
+        order = order[np.repeat(length > 1, length)]
+        # the same set from several tasks counts once
+        order = order[np.lexsort((node[order], n[order], gram[order]))]
+        gram, node, n, place = gram[order], node[order], n[order], place[order]
+        first = np.ones(len(gram), dtype=bool)
+        first[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, node, n, place = gram[first], node[first], n[first].astype(np.int64), place[first]
+        near = (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        keep = np.append(near, False) | np.append([False], near)
+        gram, node, n, place = gram[keep], node[keep], n[keep], place[keep]
+        order = np.lexsort((node, place, gram))
+        gram, node, n = gram[order], node[order], n[order].astype(np.int32)
+        start, length = _runs(gram)
+        hub, members = np.repeat(node[start], length), np.repeat(length, length).astype(np.int32)
+        for at in range(0, len(gram), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield batch_of(
+                gram=pa.array(gram[part]),
+                node=pa.array(node[part]),
+                n=pa.array(n[part]),
+                hub=pa.array(hub[part]),
+                members=pa.array(members[part]),
+            )
+
+    return run
 
 
 def _needed(a, b, percent: int):
@@ -333,7 +341,7 @@ class NgramJaccardJoin:
         levels = self.spark.sparkContext.broadcast(_levels(self.profile))
         named = self.documents.filter("id IS NOT NULL")
         entries = named.mapInArrow(_prefix(self.size, self.percent, levels), ENTRY).repartition("gram")
-        return stored(entries.mapInArrow(_column_block, LISTED), "lists")
+        return stored(entries.mapInArrow(_column_block(self.percent), LISTED), "lists")
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """``hub, node`` pairs -> the pairs ``a, b`` that reach the threshold, by exact counts over the whole sets."""
