@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegrid.llm.decontaminate import contamination
 from tidegrid.llm.ngram_join import ngram_jaccard_components
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.pii import personal_data
@@ -84,3 +85,32 @@ WITH points AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@register
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLE_SQL["op5_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[s + 1 : s + k], ' ') AS phrase
+            FROM (SELECT item_id, w, k, unnest(range(len(w) - k + 1)) AS s FROM i)),
+places AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+seen AS (SELECT doc_id, p, k, array_to_string(w[p + 1 : p + k], ' ') AS phrase
+         FROM places, (SELECT DISTINCT k FROM windows) WHERE p + k <= len(w)),
+found AS (SELECT s.doc_id, s.p, s.k, x.item_id FROM seen s JOIN windows x ON s.phrase = x.phrase AND s.k = x.k),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+         FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM (SELECT DISTINCT doc_id, p, k FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
