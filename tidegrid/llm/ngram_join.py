@@ -423,3 +423,21 @@ def ngram_jaccard_components(documents: DataFrame, id_column: str = "doc_id", te
     """
     plain = only(documents, [id_column, text_column]).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
     return NgramJaccardJoin(plain).classes().withColumnRenamed("id", id_column)
+
+
+def without_near_copies(documents: DataFrame) -> DataFrame:
+    """One document of each component stays, the one with the smallest id, with all columns of the table.
+
+    Rows without an id are in no component and stay. Of rows that share an id one stays.
+    """
+    classes = ngram_jaccard_components(documents)
+    dropped = stored(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_SETS
+    kept = documents.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*documents.columns)
+    repeated = stored(kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    count = repeated.count()
+    if not count:
+        return kept
+    again = F.broadcast(repeated) if count <= BROADCAST_SETS else repeated
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*kept.columns))

@@ -17,6 +17,7 @@ from tidegrid.llm.toxicity import fit as fit_toxicity
 from tidegrid.llm.toxicity import toxicity_scores
 from tidegrid.llm.token_lengths import length_histogram, limits_table
 from tidegrid.llm.voronoi import exact_top_k
+from tidegrid.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +115,8 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@register
+def op7_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return archived_pages(table(spark, folder, "pages"))
