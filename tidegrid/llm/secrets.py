@@ -310,24 +310,31 @@ def secret_scan(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_inferred")
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if spans:
-                pieces, at = [], 0
-                for _, start, end in sorted((s.split(":") for s in spans.split(",")), key=lambda s: int(s[1])):
-                    if int(end) > at:
-                        pieces += [text[at : max(at, int(start))], "<SECRET>" if int(start) >= at else ""]
-                        at = int(end)
-                text = "".join([*pieces, text[at:]])
-            texts.append(text)
-        columns = {name: batch.column(name) for name in batch.schema.names if name != "spans"}
-        yield batch_of(**(columns | {"text": pa.array(texts, pa.string())}))
+def mask(text: str, spans: list[Span], mark: str = "<SECRET>") -> str:
+    """The text with a mark for each run of touching or overlapping spans."""
+    pieces, at = [], -1
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        if start > at:
+            pieces += [text[max(at, 0) : start], mark]
+        at = max(at, end)
+    return "".join([*pieces, text[max(at, 0) :]])
+
+
+def _masked(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text or "")
+                texts.append(text and mask(text, base + inferred_spans(text, base, sent.value)))
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            yield batch_of(**(columns | {"text": pa.array(texts, pa.string())}))
+
+    return run
 
 
 def mask_secrets(documents: DataFrame) -> DataFrame:
     """The table with every found span replaced by a mark; a null text stays null; columns and rows are those of the input."""
-    found = scan(documents, fit(documents)).select(*[f"`{c}`" for c in documents.columns if c != "spans"], "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "spans")
-    return found.mapInArrow(_masked, schema)
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    return documents.mapInArrow(_masked(sent), schema)
