@@ -86,6 +86,12 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _beside(text: str, at: int) -> str:
+    """The character beside a span; the end of the text is like white space."""
+    c = text[at] if 0 <= at < len(text) else " "
+    return "a" if c.isalnum() else "" if c.isspace() else c
+
+
 def _features(kind: str, text: str, start: int, end: int, atoms: int) -> list[int]:
     """Hashed features of a whole span under a type (empty: none of them)."""
     word = text[start:end]
@@ -102,8 +108,8 @@ def _features(kind: str, text: str, start: int, end: int, atoms: int) -> list[in
         f"shape={shape}" if len(shape) <= 24 else "shape=long",
         f"first={shape[0]}",
         f"last={shape[-1]}",
-        f"before={'' if not start else 'a' if text[start - 1].isalnum() else text[start - 1]}",
-        f"after={'' if end == len(text) else 'a' if text[end].isalnum() else text[end]}",
+        f"before={_beside(text, start - 1)}",
+        f"after={_beside(text, end)}",
         f"at={word.count('@')},{'.' in word.rpartition('@')[2]}",
         f"octets={len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
         f"luhn={n >= 13 and not letters and luhn(digits)},{n >= 16}",

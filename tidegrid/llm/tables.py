@@ -14,11 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Public Spark setting: the shuffle files of a query go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written once to the shared folder and read back: later stages do not depend on the executors that made it."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once to the shared folder and read back: later stages do not depend on the executors that made it.
+
+    What the table was made of is not needed again, so its shuffle files are removed with the end of the write.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
