@@ -102,7 +102,7 @@ def test_proximity_finds_windows_with_words_moved(spark):
     def found(slack):
         return {ids[r["row"]] for r in index.matches(cut.windows, slack).select("row").distinct().collect()}
 
-    assert found(0) == {1} and found(1) == {1, 2} and found(8) == {1, 2, 3}
+    assert [found(0), found(2), found(8)] == [{1}, {1, 2}, {1, 2, 3}]
 
 
 def test_index_runs_no_python(spark):
