@@ -61,7 +61,7 @@ def test_headline_pad(spark, length):
 def test_prepare_text_limits_only_where_asked(spark):
     words = " ".join(f"w{i}" for i in range(600))
     df = spark.createDataFrame([("Head Line", words)], "h string, c string")
-    limited, whole = df.select(text.prepare_text("h", "c"), text.prepare_text("h", "c", None)).first()
+    limited, whole = df.select(text.prepare_text("h", "c", text.MAX_TOKENS), text.prepare_text("h", "c")).first()
     assert limited.split() == ["head", "line", *words.split()[:510]]
     assert len(whole.split()) == 602
 

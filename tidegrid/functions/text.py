@@ -89,8 +89,8 @@ def article_tokens(headline: Column | str, content: Column | str, max_tokens: in
     return words if max_tokens is None else F.slice(words, 1, max_tokens)
 
 
-def prepare_text(headline: Column | str, content: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
-    """Headline and content as tokens joined by spaces."""
+def prepare_text(headline: Column | str, content: Column | str, max_tokens: int | None = None) -> Column:
+    """Headline and content as tokens joined by spaces; ``max_tokens`` (such as MAX_TOKENS) only where a scorer has a limit."""
     return F.array_join(article_tokens(headline, content, max_tokens), " ")
 
 

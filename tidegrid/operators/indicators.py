@@ -58,12 +58,12 @@ def _lag(laid: Laid, value: Column | str, rows: int) -> Column:
 
 
 def _seed(laid: Laid, value: Column, first: int, count: int) -> Column:
-    """Mean of ``count`` values from row ``first`` on, as seen from the row where they are complete.
+    """Mean of the values there are in ``count`` rows from row ``first`` on, as seen from the row where they are complete.
 
     A running sum of those rows: one step per row, where a sliding mean would take ``count``.
     """
     chosen = F.when(F.col(ROW).between(first, first + count - 1), value)
-    return F.sum(chosen).over(laid.running) / count
+    return F.try_divide(F.sum(chosen).over(laid.running), F.count(chosen).over(laid.running))
 
 
 def _seeded(seed_row: int, seed: Column, weight: float, value: Column) -> Scan:
@@ -79,8 +79,11 @@ def sma_recipe(laid: Laid, periods: Sequence[int] = (20, 50, 200)) -> Recipe:
             phases[LOOK][f"_mean{period}"] = F.avg("close").over(laid.last_rows(period))
         else:
             phases[LOOK]["_close_sum"] = F.sum("close").over(laid.running)
+            phases[LOOK]["_close_count"] = F.count("close").over(laid.running)
             earlier = F.coalesce(_lag(laid, "_close_sum", period), F.lit(0.0))
-            phases[DERIVE][f"_mean{period}"] = (F.col("_close_sum") - earlier) / period
+            fewer = F.coalesce(_lag(laid, "_close_count", period), F.lit(0))
+            counted = F.col("_close_count") - fewer
+            phases[DERIVE][f"_mean{period}"] = F.try_divide(F.col("_close_sum") - earlier, counted)
         phases[MIX][f"MA{period}"] = _from_row(period - 1, F.col(f"_mean{period}"))
     return Recipe(tuple(phases[MIX]), phases, back=max(periods))
 

@@ -23,70 +23,68 @@ from tidegrid.functions.text import (
 from tidegrid.functions.times import floor_minute
 
 
-SMALL_LEXICON = 10_000
+#: A stream looks words up within its rows: expressions in the size of the lexicon's distinct words and weights.
+STREAM_LEXICON = 1_000
 
 
-def small_lexicon(lexicon: DataFrame, limit: int = SMALL_LEXICON) -> list | None:
-    """The lexicon's rows if there are at most ``limit``, else nothing. Never reads more than that."""
-    rows = lexicon.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def word_weights(lexicon: DataFrame) -> DataFrame:
+    """One row per word with its summed weight in every class; a word listed several times counts each of them."""
+    sums = [F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
+    return lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(*sums)
 
 
-def row_sums(lexicon_rows: list, found: Column) -> dict[str, Column]:
-    """Summed weights by class of an array of words, each word looked up in sets within the row."""
-    groups: dict[tuple[str, float], list[str]] = {}
-    for word, name, weight in lexicon_rows:
-        groups.setdefault((name, weight), []).append(word)
+def _with_chances(scored: DataFrame) -> DataFrame:
+    chances = softmax([F.col(f"score_{name}") for name in CLASSES])
+    return scored.withColumns(dict(zip(CLASSES, chances, strict=True)))
 
-    def hits(listed: list[str]) -> Column:
-        return F.size(F.filter(found, lambda word: word.isin(listed)))
 
-    sums = {}
-    for name in CLASSES:
-        parts = [hits(listed) * F.lit(weight) for (cls, weight), listed in groups.items() if cls == name]
-        sums[f"score_{name}"] = F.round(F.coalesce(sum(parts, F.lit(0.0)), F.lit(0.0)), 9)
-    return sums
+def lexicon_scores(
+    articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str] = (), article: str = "article_id"
+) -> DataFrame:
+    """Per row the summed weights of its ``words`` by class, and the probabilities made of them.
 
+    Only words travel: a row is named by a hash of what it holds, its words are joined with the lexicon, summed per name and
+    joined back. Rows that are equal in all columns share a name; an empty word per row counts them, and the sum is shared.
+    Which side is broadcast is left to the optimizer. Sums are rounded to nine digits, so that they do not depend on the order
+    of addition and equal ones tie.
+    """
+    columns = [article, *keep]
+    seed = [F.xxhash64(*columns, words), F.xxhash64(F.lit("second"), words, *columns)]
+    named = articles.select(*columns, F.struct(*seed).alias("_name"), words.alias("_words"))
+    every = F.concat(F.coalesce("_words", F.array().cast("array<string>")), F.array(F.lit("")))
+    listed = named.select("_name", F.explode(every).alias("word"))
+    sums = [F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))).alias(f"_sum_{c}") for c in CLASSES]
+    rows = F.count(F.when(F.col("word") == "", 1)).alias("_rows")
+    weights = word_weights(lexicon).filter("word <> ''")
+    summed = listed.join(weights, "word", "left").groupBy("_name").agg(*sums, rows)
+    scores = summed.select("_name", *[F.round(F.col(f"_sum_{c}") / F.col("_rows"), 9).alias(f"score_{c}") for c in CLASSES])
+    return _with_chances(named.drop("_words").join(scores, "_name").drop("_name"))
 
-def _scores_in_rows(articles: DataFrame, rows: list, words: Column, keep: Sequence[str]) -> DataFrame:
-    """No shuffle: the few words that matter are picked first, then weighed."""
-    listed = sorted({row[0] for row in rows})
-    picked = articles.select(*keep, F.filter(words, lambda word: word.isin(listed)).alias("_picked"))
-    return picked.withColumns(row_sums(rows, F.col("_picked"))).drop("_picked")
 
+def _hits(listed: list[str]) -> Column:
+    return F.size(F.filter("_picked", lambda word: word.isin(listed)))
 
-def _scores_by_join(articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str]) -> DataFrame:
-    """An article's words all come from its own row, so summing them before the shuffle leaves one row per article.
-    Spark broadcasts the lexicon while it is below the broadcast threshold, and otherwise splits frequent words."""
-    listed = articles.select(*keep, F.explode_outer(words).alias("word"))
-    weights = lexicon.groupBy("word").agg(
-        *[F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
-    )
-    sums = [F.round(F.sum(F.coalesce(f"_w_{c}", F.lit(0.0))), 9).alias(f"score_{c}") for c in CLASSES]
-    return listed.join(weights, "word", "left").groupBy(*keep).agg(*sums)
 
+def stream_scores(articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str], article: str = "article_id") -> DataFrame:
+    """The same scores within the rows, for streams, where an article cannot be summed by a shuffle before its window is.
 
-def lexicon_scores(
-    articles: DataFrame,
-    lexicon: DataFrame,
-    words: Column,
-    keep: Sequence[str] = (),
-    article: str = "article_id",
-    small: int = SMALL_LEXICON,
-) -> DataFrame:
-    """Per article the summed weights of its ``words`` by class, and the probabilities made of them.
-
-    A lexicon of at most ``small`` rows is looked up within the rows; a larger one is joined. Sums are rounded to nine
-    digits, so that they do not depend on the order of addition and equal ones tie.
+    The lexicon is read when the stream is built; with more than ``STREAM_LEXICON`` words a ValueError is raised.
     """
-    rows = small_lexicon(lexicon, small)
-    columns = [article, *keep]
-    if rows is None:
-        summed = _scores_by_join(articles, lexicon, words, columns)
-    else:
-        summed = _scores_in_rows(articles, rows, words, columns)
-    chances = softmax([F.col(f"score_{name}") for name in CLASSES])
-    return summed.withColumns(dict(zip(CLASSES, chances, strict=True)))
+    rows = word_weights(lexicon).limit(STREAM_LEXICON + 1).collect()
+    if len(rows) > STREAM_LEXICON:
+        raise ValueError(f"a stream scores with at most {STREAM_LEXICON} words")
+    listed = sorted(row["word"] for row in rows)
+    picked = articles.select(article, *keep, F.filter(words, lambda word: word.isin(listed)).alias("_picked"))
+    sums = {}
+    for name in CLASSES:
+        groups: dict[float, list[str]] = {}
+        for row in rows:
+            if row[f"_w_{name}"]:
+                groups.setdefault(row[f"_w_{name}"], []).append(row["word"])
+        parts = [_hits(own) * F.lit(weight) for weight, own in sorted(groups.items())]
+        total = F.aggregate(F.array(*parts), F.lit(0.0), lambda a, b: a + b) if parts else F.lit(0.0)
+        sums[f"score_{name}"] = F.round(F.coalesce(total, F.lit(0.0)), 9)
+    return _with_chances(picked.withColumns(sums).drop("_picked"))
 
 
 def lexicon_label(scored: DataFrame) -> DataFrame:

@@ -129,6 +129,10 @@ def _bucket_counts(df: DataFrame, key: str, bucket: Column) -> DataFrame:
     return df.select(key, bucket.alias("_bucket")).groupBy(key, "_bucket").agg(F.count("*").alias("_count"))
 
 
+def _required(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(f"a row has no {name}")))
+
+
 def number_rows(
     df: DataFrame,
     key: str = "symbol",
@@ -139,8 +143,9 @@ def number_rows(
     """Row number and length of every series without sorting a whole series in one task.
 
     Rows are numbered within ``(key, time bucket)`` and shifted by the number of rows in earlier buckets. Choose
-    the bucket so that it holds some ten thousand rows of the busiest series. Rows need a key and a time.
+    the bucket so that it holds some ten thousand rows of the busiest series. A row without a key or a time is an error.
     """
+    df = df.withColumns({name: _required(name) for name in (key, time)})
     bucket = time_bucket(time, bucket_seconds)
     counts = _bucket_counts(df, key, bucket)
     series = Window.partitionBy(key)

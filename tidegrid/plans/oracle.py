@@ -424,7 +424,7 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00'"""
     sql["strip_html"] = f"SELECT page_id AS article_id, {_strip_html('html')} AS text FROM pages"
     sql["clean_html_text"] = f"SELECT page_id AS article_id, {_clean_html('html')} AS text FROM pages"
     joined = "concat_ws(' ', headline, content)"
-    sql["prepare_text"] = f"WITH {ARTICLES} SELECT article_id, array_to_string(({_tokens(joined)})[1:512], ' ') AS text FROM articles"
+    sql["prepare_text"] = f"WITH {ARTICLES} SELECT article_id, array_to_string(({_tokens(joined)}), ' ') AS text FROM articles"
     sql["headline_pad"] = "SELECT doc_id AS article_id, rpad(text, 100, ' ') AS headline FROM documents"
     sql["softmax3"] = f"""WITH s AS ({_lines_score()}), p AS (SELECT *, exp(a) + exp(b) + exp(c) AS z FROM s),
 q AS (SELECT l_orderkey, l_linenumber, exp(a) / z AS positive, exp(b) / z AS negative, exp(c) / z AS neutral FROM p)

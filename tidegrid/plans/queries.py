@@ -61,7 +61,9 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = D
         column = F.col(field.name)
         if columns is None or field.name in columns:
             if isinstance(field.dataType, T.DoubleType):
-                column = F.floor(column * scale + F.lit(0.503)) / scale
+                # beyond that the scaled value leaves the whole numbers; infinite values and NaN stay as they are
+                fits = F.abs(column) < F.lit(2.0**63 / 10.0**digits)
+                column = F.when(fits, F.floor(column * scale + F.lit(0.503)) / scale).otherwise(column)
             elif isinstance(field.dataType, T.TimestampType):
                 column = column.cast("timestamp_ntz")
             shown.append(column.alias(field.name))
@@ -103,6 +105,29 @@ QUERIES |= {
 }
 
 
+def laid_in_blocks(spark: SparkSession, folder: str) -> Laid:
+    """Short blocks, so that series of a thousand bars take several: carries, copied rows and agreement rounds all run."""
+    return lay_out(market.bars(spark, folder), bucket_seconds=86400, block=512)
+
+
+def _in_blocks(run: Callable[[Laid], Laid], outputs: Sequence[str]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return rounded(run(laid_in_blocks(spark, folder)).rows(), ["symbol", "t", *outputs])
+
+    return query
+
+
+QUERIES |= {
+    "sma_blocks": _in_blocks(indicators.sma, ["MA20", "MA50", "MA200"]),
+    "macd_blocks": _in_blocks(indicators.macd, ["MACD", "Signal"]),
+    "obv_blocks": _in_blocks(indicators.on_balance_volume, ["OBV"]),
+    "atr_blocks": _in_blocks(indicators.atr, ["ATR"]),
+    "ichimoku_blocks": _in_blocks(indicators.ichimoku, ["Tenkan", "Kijun", "SenkouA", "SenkouB", "Chikou"]),
+    "psar_blocks": _in_blocks(psar.parabolic_sar, ["PSAR"]),
+}
+BLOCK_TWINS = {name: name.removesuffix("_blocks") for name in QUERIES if name.endswith("_blocks")}
+
+
 @register
 def pivot_points(spark: SparkSession, folder: str) -> DataFrame:
     shown = ["PP", "R1", "S1", "R2", "S2", "R3", "S3"]
@@ -233,7 +258,7 @@ def clean_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def prepare_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The scorer's input: at most 512 tokens of headline and content."""
+    """The scorer's input: all tokens of headline and content."""
     return market.articles(spark, folder).select("article_id", text.prepare_text("headline", "content").alias("text"))
 
 

@@ -23,7 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only when nothing is named (tests)."""
+    """The shared folder named by the cluster; a local one only in local mode when nothing is named (tests)."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     current = context.getCheckpointDir()
@@ -32,6 +32,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} names no folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-checkpoint-"))
         current = context.getCheckpointDir()
     return current

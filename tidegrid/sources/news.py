@@ -15,11 +15,11 @@ PAGE_LIMIT = 50
 def read_news_pages(
     spark: SparkSession, path: str, start=None, end=None, symbol: str | None = None, drop_contentless: bool = False
 ) -> DataFrame:
-    """``article_id, symbol, created_at, headline, content``, one row per article and symbol."""
+    """``article_id, symbol, created_at, headline, content``, one row per article and symbol; without symbols one row."""
     pages = spark.read.schema(NEWS_PAGE).option("mode", "FAILFAST").json(path)
     articles = pages.select(F.inline("news")).select(
         F.col("id").alias("article_id"),
-        F.explode("symbols").alias("symbol"),
+        F.explode_outer("symbols").alias("symbol"),
         parse_utc("created_at").alias("created_at"),
         "headline",
         "content",

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.text import CLASSES, article_tokens, strip_html
 from tidegrid.operators.resample import resample_ticks
-from tidegrid.operators.sentiment import SMALL_LEXICON, lexicon_scores, small_lexicon
+from tidegrid.operators.sentiment import stream_scores
 from tidegrid.session import scratch_path
 from tidegrid.sources.market import document_articles, event_ticks
 
 def follow_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A warehouse table as a file stream with its own schema."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """A warehouse table, a file or a folder of files, as a file stream with its own schema."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
@@ -59,14 +63,11 @@ def bars_to_table(
 def stream_sentiment(articles: DataFrame, lexicon: DataFrame, delay: str) -> DataFrame:
     """Per symbol and minute the number of articles and their mean class scores; repeated articles count once.
 
-    The lexicon has to be a small one: a stream scores within its rows.
+    The lexicon has to be a small one: a stream scores within its rows, see ``stream_scores``.
     """
-    rows = small_lexicon(lexicon)
-    if rows is None:
-        raise ValueError(f"lexicon has more than {SMALL_LEXICON} words")
     once = articles.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["article_id"])
     words = article_tokens("headline", strip_html("content"))
-    scored = lexicon_scores(once, lexicon, words, ["symbol", "created_at"])
+    scored = stream_scores(once, lexicon, words, ["symbol", "created_at"])
     return scored.groupBy("symbol", F.window("created_at", "1 minute").alias("_minute")).agg(
         F.count("*").alias("articles"), *[F.avg(name).alias(name) for name in CLASSES]
     )
