@@ -31,13 +31,21 @@ def session_day(ts: str) -> Column:
     return F.date_trunc("day", eastern(ts))
 
 
+def _time_then_sequence() -> Column:
+    """(ts, seq) as one number: microseconds above the 64 bits of the sequence number, which may be negative or missing."""
+    whole = "decimal(38,0)"
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast(whole)
+    sequence = F.coalesce(F.col("seq"), F.lit(0)).cast(whole) + F.lit(str(2**63)).cast(whole)
+    return micros * F.lit(str(2**64)).cast("decimal(20,0)") + sequence
+
+
 def resample_ticks(ticks: DataFrame, timeframe: str = "1 minute", order: str | None = None, daily: bool = False) -> DataFrame:
     """Bars from ticks ``symbol, ts, seq, price, size``; open and close by (ts, seq).
 
-    ``order`` may name one numeric column that orders the ticks of a bar by itself, such as an exchange's sequence
-    number. The aggregation then keeps fixed-width state, stays a hash aggregate and avoids sorting the ticks.
+    Time and sequence number are put into one decimal, so the aggregation keeps fixed-width state, stays a hash aggregate and
+    avoids sorting the ticks. ``order`` may name one numeric column that orders the ticks of a bar by itself.
     """
-    first_to_last = F.col(order) if order else F.struct("ts", "seq")
+    first_to_last = F.col(order) if order else _time_then_sequence()
     label = session_day("ts") if daily else window_start("ts", timeframe)
     return ticks.groupBy("symbol", label.alias("t")).agg(*_bar_columns(first_to_last))
 

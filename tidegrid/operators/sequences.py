@@ -68,6 +68,12 @@ def time_folds(df: DataFrame, row: Column, total: Column, folds: int = 5) -> Dat
     return df.withColumn("fold", fold.cast("int"))
 
 
+def _shuffled_place(key: str, time: str, seed: int) -> Column:
+    """60 bits of the MD5 of key, time in microseconds and seed: a place that any engine can compute."""
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.unix_micros(time).cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def shuffled_split(laid: Laid, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``split`` by a seeded random order instead of time, with the same part sizes.
 
@@ -76,10 +82,10 @@ def shuffled_split(laid: Laid, test_size: float = 0.2, seed: int = 42) -> DataFr
     """
     from pyspark.sql import Window
 
-    order = F.xxhash64(laid.key, laid.time, F.lit(seed))
+    order = _shuffled_place(laid.key, laid.time, seed)
     slices = F.greatest(F.ceil(F.col(ROWS) / laid.block), F.lit(1))
-    share = (order.cast("double") / F.lit(2.0**64)) + 0.5
-    base = laid.numbered().withColumn("_order", order).withColumn("_slice", F.floor(share * slices))
+    share = order.cast("double") / F.lit(2.0**60)
+    base = laid.numbered().withColumn("_order", order).withColumn("_slice", F.least(F.floor(share * slices), slices - 1))
     counts = base.groupBy(laid.key, "_slice").agg(F.count("*").alias("_count"))
     lower = Window.partitionBy(laid.key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(laid.key, "_slice", F.coalesce(F.sum("_count").over(lower), F.lit(0)).alias("_offset"))

@@ -488,6 +488,10 @@ SELECT symbol, t, length, {_round(["first_open", "last_v", "total", "y"])} FROM
 SELECT symbol, t, {_round(["close", "label"])} FROM s WHERE label IS NOT NULL"""
     sql["time_split"] = f"""WITH {BARS} SELECT symbol, t, {_shown('close')} AS y,
   CASE WHEN i - 60 < rows_all - 60 - ceil((rows_all - 60) * 0.2) THEN 'train' ELSE 'test' END AS split FROM b WHERE i >= 60"""
+    sql["shuffled_split"] = f"""WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol
+  ORDER BY substr(md5(symbol || '|' || epoch_us(t) || '|42'), 1, 15), i) - 1 AS place FROM b)
+SELECT symbol, t, {_shown('close')} AS close,
+  CASE WHEN place < ceil(rows_all * 0.2) THEN 'test' ELSE 'train' END AS split FROM r"""
     sql["validation_split"] = f"""WITH {BARS}, c AS (SELECT *, rows_all - ceil(rows_all * 0.2) AS train FROM b)
 SELECT symbol, t, {_round(["close"])}, CASE WHEN i < floor(train * 0.8) THEN 'train' WHEN i < train THEN 'validation' ELSE 'test' END AS split FROM c"""
     sql["time_folds"] = f"""WITH {BARS}, c AS (SELECT *, rows_all // 6 AS size FROM b)
