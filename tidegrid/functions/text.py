@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ HEADLINE_WIDTH = 100
 MAX_TOKENS = 512
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
-# Comments, declarations, and elements whose content is not visible text.
-HIDDEN = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|<(script|style|template)\b[^>]*>.*?</\1\s*>"
-TAG = r"(?s)</?[a-zA-Z][^>]*>"
+# Comments, declarations, and elements whose content is not visible text; unclosed ones run to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+# A tag ends at the first > outside the quotes of an attribute's value.
+TAG = r"""(?s)</?[a-zA-Z][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^>"'=]?)[^>=]*+)*+>"""
 
 
 def _col(value: Column | str) -> Column:
@@ -43,29 +44,47 @@ def strip_html(text: Column | str) -> Column:
 
 
 def _entity_names() -> Column:
-    """The common named character references and their characters, from the standard library's tables."""
-    names = sorted({*name2codepoint, "apos"})
-    return F.create_map(*[F.lit(part) for name in names for part in (name, html5[f"{name};"])])
+    """All named character references and their characters, from the standard library's table, as one constant."""
+    pairs = sorted((name.removesuffix(";"), character) for name, character in html5.items() if name.endswith(";"))
+    return F.str_to_map(F.lit("\x01".join(f"{name}\x02{character}" for name, character in pairs)), F.lit("\x01"), F.lit("\x02"))
+
+
+def _old_names() -> str:
+    """A pattern of the names that need no semicolon, the longest first."""
+    names = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+    return f"^({'|'.join(names)})"
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a number: 128 to 159 as in code page 1252, replaced where there is none."""
+    old = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    renamed = F.str_to_map(F.lit(",".join(f"{n}:{c}" for n, c in old.items() if c)), F.lit(","), F.lit(":"))
+    # the number of a character to UTF-8 by way of its UTF-32 bytes
+    wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    none = (number == 0) | (number > 1114111) | number.between(55296, 57343)
+    moved = F.when(number.between(128, 159), F.try_element_at(renamed, number.cast("string")))
+    return F.when(none, "�").otherwise(F.coalesce(moved, wide))
 
 
 def decode_entities(text: Column | str) -> Column:
     """Named and numeric character references to characters, each decoded once; unknown ones stay as they are."""
     whole = _col(text)
-    names = _entity_names()
+    names, old = _entity_names(), _old_names()
     pattern = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);?"
 
     def decoded(piece: Column) -> Column:
         reference = F.regexp_extract(piece, pattern, 0)
         body = F.regexp_extract(piece, pattern, 1)
         digits = F.regexp_replace(body, "^#[xX]?", "")
-        point = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(body.rlike("^#"), digits).try_cast("int")
-        # The number of a character to UTF-8 by way of its UTF-32 bytes.
-        wide = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        numeric = F.when((point > 0) & (point < 1114112) & ~point.between(55296, 57343), wide)
-        character = F.when(body.startswith("#"), numeric).otherwise(F.try_element_at(names, body))
-        return F.when(
-            (body != "") & character.isNotNull(), F.concat(character, F.substr(piece, F.length(reference) + 1))
-        ).otherwise(F.concat(F.lit("&"), piece))
+        number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(body.startswith("#"), digits).try_cast("int")
+        named = F.when(reference.endswith(";"), F.try_element_at(names, body))
+        character = F.when(body.startswith("#"), _code_point(number)).otherwise(named)
+        short = F.regexp_extract(body, old, 1)
+        return (
+            F.when((body != "") & character.isNotNull(), F.concat(character, F.substr(piece, F.length(reference) + 1)))
+            .when(short != "", F.concat(F.try_element_at(names, short), F.substr(piece, F.length(short) + 1)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
 
     pieces = F.split(whole, "&")
     rest = F.transform(F.slice(pieces, 2, F.size(pieces)), decoded)
