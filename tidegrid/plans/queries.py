@@ -28,7 +28,7 @@ from tidegrid.operators import (
 from tidegrid.operators.series import ROW, ROWS, Laid, lay_out
 from tidegrid.plans import jobs
 from tidegrid.plans.lexicon import lexicon
-from tidegrid.session import scratch_path
+from tidegrid.session import cut_lineage, scratch_path
 from tidegrid.sources import bars as bar_source
 from tidegrid.sources import market, news
 from tidegrid.streaming import indicators as live_indicators
@@ -71,7 +71,8 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None, digits: int = D
 
 
 def laid_bars(spark: SparkSession, folder: str) -> Laid:
-    return lay_out(market.bars(spark, folder))
+    """The layout reads its bars several times, so they are made from the ticks once."""
+    return lay_out(cut_lineage(market.bars(spark, folder)))
 
 
 def _sentiment(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +108,7 @@ QUERIES |= {
 
 def laid_in_blocks(spark: SparkSession, folder: str) -> Laid:
     """Short blocks, so that series of a thousand bars take several: carries, copied rows and agreement rounds all run."""
-    return lay_out(market.bars(spark, folder), bucket_seconds=86400, block=512)
+    return lay_out(cut_lineage(market.bars(spark, folder)), bucket_seconds=86400, block=512)
 
 
 def _in_blocks(run: Callable[[Laid], Laid], outputs: Sequence[str]) -> Query:
@@ -137,7 +138,7 @@ def pivot_points(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def features_wide(spark: SparkSession, folder: str) -> DataFrame:
     """All indicators over many symbols: daily bars of suppliers' order lines."""
-    laid = lay_out(market.wide_bars(spark, folder), bucket_seconds=8192 * 86400)
+    laid = lay_out(cut_lineage(market.wide_bars(spark, folder)), bucket_seconds=8192 * 86400)
     return rounded(indicators.all_features(laid).rows(), digits=3)
 
 
@@ -196,7 +197,7 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def split_adjust(spark: SparkSession, folder: str) -> DataFrame:
-    bars = market.wide_bars(spark, folder)
+    bars = cut_lineage(market.wide_bars(spark, folder))
     return rounded(resample.split_adjust(bars, _splits(spark, folder), bucket_seconds=1024 * 86400))
 
 
@@ -548,7 +549,7 @@ def comparison(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def combined_features(spark: SparkSession, folder: str) -> DataFrame:
     """The training table: scaled and filled features with the nearest article's scores."""
-    bars = market.bars(spark, folder)
+    bars = cut_lineage(market.bars(spark, folder))
     return rounded(jobs.combined_features(bars, _sentiment(spark, folder), TOLERANCE_SECONDS).rows())
 
 
