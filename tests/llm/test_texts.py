@@ -179,11 +179,16 @@ def test_segment_programme_equals_enumeration():
     assert abs(sum(s[3] for s in cluster.best(weights)) - best[0]) < 1e-6
 
 
+def card(k):
+    first = f"{400000000000000 + 7919 * k:015d}"
+    return next(first + d for d in "0123456789" if pii.luhn(first + d))
+
+
 def test_personal_data_keeps_base_and_adds(spark):
     rng = np.random.default_rng(8)
     rows = []
     for k in range(400):
-        parts = [f"user{k}@mail{k % 7}.example.com", f"10.{k % 200}.3.{k % 90}", "4539578763621486", f"+1 ({k % 900:03d}) 555-{1000 + k}", "7 of 9", "v2"]
+        parts = [f"user{k}@mail{k % 7}.example.com", f"10.{k % 200}.3.{k % 90}", card(k), f"+1 ({k % 900:03d}) 555-{1000 + k}", "7 of 9", "v2"]
         rows.append((k, "some words here " + " and then ".join(rng.permutation(parts)) + " the end"))
     rows += [(900, "call 4539578763621486 4539578763621486 today"), (901, None), (902, ""), (None, "x 1.2.3.4"), (903, "9 " * 3000)]
     frame = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, spans string")
