@@ -39,7 +39,7 @@ ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[\W_]", re.UNICODE)
 #: Documents of the training sample (spread by a hash), clusters of the training set, and the least margin of an added span.
 SAMPLE_DOCUMENTS = 50_000
 SAMPLE_CLUSTERS = 3_000
-LEAST_MARGIN = 2.0
+LEAST_MARGIN = 4.0
 FEATURES_LOG2 = 12
 
 Span = tuple[str, int, int]
