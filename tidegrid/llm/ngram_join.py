@@ -234,15 +234,15 @@ def _row_blocks(percent: int):
         row_of[rows] = np.arange(len(rows))
         found_a, found_b = [], []
         order = np.argsort(block["gram"], kind="stable")
-        place, stray = place[order], stray[order]
+        place = place[order]
         first, length = _runs(block["gram"][order])
         step = max(1, (1 << 24) // len(nodes))
         for low in range(0, len(rows), step):
             counts = np.zeros((min(step, len(rows) - low), len(nodes)), dtype=np.int32)
             for start, count in zip(first.tolist(), length.tolist(), strict=True):
                 members = place[start : start + count]
-                own = row_of[members[stray[start : start + count]]] - low
-                own = own[(own >= 0) & (own < len(counts))]
+                own = row_of[members] - low
+                own = own[(row_of[members] >= 0) & (own >= 0) & (own < len(counts))]
                 counts[np.ix_(own, members)] += 1
             mine, other = np.nonzero(counts)
             a, b = rows[mine + low], other
