@@ -17,6 +17,7 @@ A link inside a component already found is never counted again, so groups of nea
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from tidegrid.llm.components import components
 from tidegrid.llm.tables import batch_of, only, stored
 from tidegrid.llm.words import SPACE, Splitter, shingle_sets
 
-#: Counters of the frequency sketch, fixed at every size of input (2**21 counters, 2 MB once they are levels).
-SKETCH_BITS = 21
+#: Counters of the frequency sketch, fixed at every size of input (2**23 counters, 8 MB once they are levels).
+SKETCH_BITS = 23
 SKETCH_PARTS = 64
 #: Sets compared with one hub in one go, and sets of one hub block that are compared with the block's lists.
 PER_HUB = 512
@@ -59,6 +60,21 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingle_sets(words, size), first)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """One byte per counter and the large ones apart, compressed: most counters of a task are small."""
+    large = np.flatnonzero(counts > 255)
+    head = np.array([len(large)], dtype=np.int64).tobytes() + large.astype(np.int64).tobytes() + counts[large].tobytes()
+    return zlib.compress(head + np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    data = zlib.decompress(packed)
+    many = int(np.frombuffer(data, np.int64, 1)[0])
+    counts = np.frombuffer(data, np.uint8, offset=8 + 16 * many).astype(np.int64)
+    counts[np.frombuffer(data, np.int64, many, 8)] = np.frombuffer(data, np.int64, many, 8 + 8 * many)
+    return counts
+
+
 def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -73,7 +89,7 @@ def _profile(size: int):
                     nodes[row] = _fingerprint(found)
                     waiting.append((found & _MASK).astype(np.int64))
                     held += len(found)
-                    if held > 1 << 21:
+                    if held > 1 << 22:
                         counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
                         waiting, held = [], 0
             if waiting:
@@ -87,13 +103,12 @@ def _profile(size: int):
                 counts=pa.nulls(none, pa.binary()),
             )
         if counts.any():
-            packed = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(SKETCH_PARTS, _PART)
             yield batch_of(
                 id=pa.nulls(SKETCH_PARTS, pa.int64()),
                 n=pa.nulls(SKETCH_PARTS, pa.int64()),
                 node=pa.nulls(SKETCH_PARTS, pa.int64()),
                 part=pa.array(range(SKETCH_PARTS), pa.int32()),
-                counts=pa.array([row.tobytes() for row in packed], pa.binary()),
+                counts=pa.array([_packed(row) for row in counts.reshape(SKETCH_PARTS, _PART)], pa.binary()),
             )
 
     return run
@@ -104,7 +119,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-            row = np.frombuffer(counts.as_buffer(), dtype=np.int32).astype(np.int64)
+            row = _unpacked(counts.as_py())
             sums[part] = sums[part] + row if part in sums else row
     if sums:
         levels = [np.round(4 * np.log2(row + 1.0)).astype(np.uint8).tobytes() for row in sums.values()]
