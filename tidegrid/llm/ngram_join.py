@@ -63,7 +63,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 def _packed(counts: np.ndarray) -> bytes:
     """One byte per counter and the large ones apart, compressed: most counters of a task are small."""
     large = np.flatnonzero(counts > 255)
-    head = np.array([len(large)], dtype=np.int64).tobytes() + large.astype(np.int64).tobytes() + counts[large].tobytes()
+    head = np.array([len(large)], dtype=np.int64).tobytes() + large.astype(np.int64).tobytes() + counts[large].astype(np.int64).tobytes()
     return zlib.compress(head + np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
 
 
@@ -77,7 +77,12 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+
+        def add(waiting: list[np.ndarray]) -> None:
+            place, times = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[place] += np.minimum(times, 2**31 - 1 - counts[place].astype(np.int64)).astype(np.int32)
+
         for batch in batches:
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             nodes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -87,13 +92,13 @@ def _profile(size: int):
                 sizes[row] = len(found)
                 if len(found):
                     nodes[row] = _fingerprint(found)
-                    waiting.append((found & _MASK).astype(np.int64))
+                    waiting.append((found & _MASK).astype(np.int32))
                     held += len(found)
-                    if held > 1 << 22:
-                        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                    if held > 1 << 20:
+                        add(waiting)
                         waiting, held = [], 0
             if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                add(waiting)
             none = batch.num_rows
             yield batch_of(
                 id=batch.column("id"),
