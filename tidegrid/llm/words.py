@@ -17,7 +17,7 @@ _P_INVERSE = pow(_P, -1, 1 << 64)
 _SHINGLE = np.uint64(0xD1342543DE82EF95)
 
 #: Bytes handled at once (a longer text is one chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(values: np.ndarray) -> np.ndarray:
