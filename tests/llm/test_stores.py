@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -47,6 +48,21 @@ def test_top_k_with_ties_copies_and_unusable_rows(spark, monkeypatch, block):
     assert found == plain_top(rounded, 5)
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_top_k_ranks_every_row_of_a_repeated_id(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(voronoi, "BLOCK_VECTORS", block)
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(0, 1, 4).round(2).tolist()) for k in range(120)]
+    rows += [(k, [3.0, 3.0, 3.0, 3.0]) for k in [201] * 3 + [202] * 9]  # more rows than k, and fewer
+    rows += [(201, [-3.0, 3.0, -3.0, 3.0])] * 2 + [(50, rows[50][1])] * 2 + [(50, [-1.0, -2.0, 0.5, 0.0])] + [(100, rows[100][1])] * 7
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        wanted = sorted(db.execute(queries.ORACLE_SQL["op3_voronoi_top_k"]).fetchall())
+    assert sorted(map(tuple, voronoi.exact_top_k(frame).collect())) == wanted and len(wanted) == 15
+
+
 def test_top_k_of_few_and_of_none(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (50, [2.0])], kind)

@@ -5,7 +5,7 @@ since q.x = q.p + q.(x - p), no member of a cell scores more than q.p + |q| * ra
 cells with the highest bounds, which gives it a k-th best score; then it is sent only to the other cells whose bound reaches that
 score. Cells are cut into blocks of bounded size, so a cell with a third of all vectors is many tasks; a block answers all its
 queries with one integer matrix product, and the best of all blocks are merged by rank. No cell that could hold a result or a tie
-is left out, so results are exact.
+is left out, so results are exact. Rows are ranked, not ids: rows that repeat with their id are ranked each.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ def _assigned(sent, width: int):
             packed = [row.tobytes() for row in np.ascontiguousarray(x, dtype="<i8")]
             yield batch_of(
                 id=batch.column("id"),
+                copies=batch.column("copies"),
                 cell=pa.array(cell.astype(np.int32)),
                 far=pa.array(far),
                 vector=pa.array(packed, pa.binary()),
@@ -88,6 +89,7 @@ def _cells_for(sent, width: int, first: int | None):
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy()
+            copies = batch.column("copies").to_numpy()
             x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype="<i8").reshape(-1, width)
             bound = _bounds(pivots, radius, x)
             order = np.argsort(-bound, axis=1, kind="stable")
@@ -100,21 +102,30 @@ def _cells_for(sent, width: int, first: int | None):
                 least = np.where(np.isnan(least), -np.inf, least)
                 wanted = (bound >= least[:, None]) & ~probed
             wanted &= np.isfinite(bound)
-            cells, names, packs = [], [], []
+            cells, names, times, packs = [], [], [], []
             for cell in np.flatnonzero(wanted.any(axis=0)):
                 rows = np.flatnonzero(wanted[:, cell])
                 for at in range(0, len(rows), PACKED_QUERIES):
                     part = rows[at : at + PACKED_QUERIES]
                     cells.append(int(cell))
                     names.append(ids[part].astype("<i8").tobytes())
+                    times.append(copies[part].astype("<i8").tobytes())
                     packs.append(np.ascontiguousarray(x[part]).tobytes())
-            yield batch_of(cell=pa.array(cells, pa.int32()), ids=pa.array(names, pa.binary()), packed=pa.array(packs, pa.binary()))
+            yield batch_of(
+                cell=pa.array(cells, pa.int32()),
+                ids=pa.array(names, pa.binary()),
+                copies=pa.array(times, pa.binary()),
+                packed=pa.array(packs, pa.binary()),
+            )
 
     return run
 
 
 def _solve(width: int, k: int):
-    """One block of vectors against the queries sent to its cell: the k best of the block per query, ties to the smaller id."""
+    """One block of vectors against the queries sent to its cell: the k best of the block per query, ties to the smaller id.
+
+    A row of the block is given as often as its query is stored.
+    """
 
     def run(_key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
@@ -123,8 +134,8 @@ def _solve(width: int, k: int):
         ids = data["id"].to_numpy()
         x = np.frombuffer(b"".join(data["vector"]), dtype="<i8").reshape(-1, width)
         out = []
-        for names, packed in zip(asked["ids"], asked["packed"], strict=True):
-            queries = np.frombuffer(names, dtype="<i8")
+        for names, copies, packed in zip(asked["ids"], asked["copies"], asked["packed"], strict=True):
+            queries, times = np.frombuffer(names, dtype="<i8"), np.frombuffer(copies, dtype="<i8")
             score = _products(np.frombuffer(packed, dtype="<i8").reshape(-1, width), x)
             own = queries[:, None] == ids[None, :]
             for row, query in enumerate(queries.tolist()):
@@ -134,6 +145,8 @@ def _solve(width: int, k: int):
                     keep = np.flatnonzero(values >= limit)
                     keep = keep[np.lexsort((mine[keep], -values[keep]))][:k]
                     mine, values = mine[keep], values[keep]
+                if times[row] > 1:
+                    mine, values = np.repeat(mine, times[row]), np.repeat(values, times[row])
                 out.append(pd.DataFrame({"query_id": query, "vec_id": mine, "score": values}))
         return pd.concat(out, ignore_index=True)
 
@@ -150,14 +163,15 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int = K, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """``id, parts`` rows of whole numbers -> ``query_id, rank, vec_id, score``: per query its k best other points.
 
     Points of the query's own id are no candidates. With fewer than k candidates all are returned; empty tables give an empty
-    table. Points that repeat with their id count once. All vectors need one length, else a ValueError is raised.
+    table. Every row counts: a point stored n times takes n ranks, and each point is ranked once for every row of the query. All
+    vectors need one length, else a ValueError is raised.
     """
     spark = points.sparkSession
     shape = points.select(F.size("parts").alias("w")).agg(F.min("w"), F.max("w"), F.count("*")).first()
@@ -172,8 +186,9 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = K, most_pivots: int =
     drawn = points.filter(spread).select("parts").distinct().orderBy(F.xxhash64("parts"), "parts").limit(wanted).collect()
     pivots = np.array([r["parts"] for r in drawn] or [[0] * width], dtype=np.float64).reshape(-1, width)
     sent = spark.sparkContext.broadcast(pivots)
-    schema = "id long, cell int, far double, vector binary"
-    dealt = stored(points.mapInArrow(_assigned(sent, width), schema), "cells")
+    schema = "id long, copies long, cell int, far double, vector binary"
+    single = points.select("id", F.lit(1).cast("long").alias("copies"), "parts")
+    dealt = stored(single.mapInArrow(_assigned(sent, width), schema).drop("copies"), "cells")
     summary = dealt.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
     sizes = summary.collect()  # at most one row per pivot
     radius = np.full(len(pivots), -1.0)
@@ -183,18 +198,22 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = K, most_pivots: int =
         blocks[r["cell"]] = -(-r["n"] // BLOCK_VECTORS)
     bounds = spark.sparkContext.broadcast((pivots, radius))
     block_of = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")
-    salted = dealt.join(F.broadcast(block_of), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = queries.mapInArrow(_assigned(sent, width), schema).select("id", "vector")
+    # by row and not by id, so that the rows of one id are dealt over the blocks, too
+    row = F.xxhash64("id", F.monotonically_increasing_id())
+    salted = dealt.withColumn("at", row).join(F.broadcast(block_of), "cell").withColumn("block", F.expr("CAST(pmod(at, blocks) AS INT)"))
+    # more than k rows of one query change nothing: k of them give its best point k times
+    several = queries.groupBy("id", "parts").agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("copies"))
+    asked = several.select("id", "copies", "parts").mapInArrow(_assigned(sent, width), schema).select("id", "copies", "vector")
 
     def answer(packed: DataFrame) -> DataFrame:
         every = packed.join(F.broadcast(block_of), "cell")
         every = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         data = salted.select("cell", "block", "id", "vector").groupBy("cell", "block")
-        return data.cogroup(every.select("cell", "block", "ids", "packed").groupBy("cell", "block")).applyInPandas(
+        return data.cogroup(every.select("cell", "block", "ids", "copies", "packed").groupBy("cell", "block")).applyInPandas(
             _solve(width, k), FOUND
         )
 
-    pack = "cell int, ids binary, packed binary"
+    pack = "cell int, ids binary, copies binary, packed binary"
     first = stored(_best(answer(asked.mapInArrow(_cells_for(bounds, width, FIRST_CELLS), pack)), k), "first")
     least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     bounded = asked.join(least, "id", "left")
