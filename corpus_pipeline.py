@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.decontaminate import clean_documents
-from tidegrid.llm.ngram_join import without_near_copies
+from tidegrid.llm.decontaminate import clean_rows
+from tidegrid.llm.ngram_join import one_row_of_each_component
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.quality import kept_documents
 from tidegrid.llm.secrets import mask_secrets
@@ -19,13 +19,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return without_near_copies(docs)
+    """One row of each group of near copies, whatever the ids."""
+    return one_row_of_each_component(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no window of the benchmark."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    """The rows that hold no window of the benchmark, whatever the ids."""
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

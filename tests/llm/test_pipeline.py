@@ -103,3 +103,24 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     whole = corpus_pipeline.run(spark, folder).toPandas()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole[names].values.tolist())) == sorted(map(tuple, packed[names].values.tolist()))
+
+
+def test_stages_work_on_rows_and_not_on_ids(spark, tmp_path):
+    one, two, three = ([f"{name}{k}" for k in range(30)] for name in "abc")
+    a, b, c, near = " ".join(one), " ".join(two), " ".join(three), " ".join(["other", *one[1:]])
+    item = " ".join(f"bench{k}" for k in range(12))
+    rows = [(5, a), (8, near), (3, b), (5, b), (5, b)]  # one id over a root and over a copy
+    rows += [(7, f"{k} " + " ".join(f"{k}x{n}" for n in range(9))) for k in range(4)]  # one id, different texts
+    rows += [(None, c), (None, c), (None, a), (None, "alone here"), (None, None), (None, None), (9, ""), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, read, str(tmp_path))
+    wanted = [(5, a), (3, b), *rows[5:9], (None, c), *rows[12:]]
+    assert kept.columns == read.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, wanted))
+
+    rows = [(1, f"x {item}"), (1, "clean"), (None, f"{item} y"), (None, "clean"), (None, None), (2, f"x {item}"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[6]]))

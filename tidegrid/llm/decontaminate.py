@@ -155,3 +155,16 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     bad = contamination(documents, benchmark).filter("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
     return documents.join(_small(stored(bad, "contaminated")), "doc_id", "left_anti").select(*documents.columns)
+
+
+def clean_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Drops exactly the rows whose text holds a window of the benchmark, with all columns; the pipeline's stage.
+
+    Whether a row is contaminated depends on its text alone, so rows are found again by the SHA-256 of the text: those without an
+    id are dropped, too, and a clean text stays when another one of its id is dropped.
+    """
+    text_key = F.unhex(F.sha2(F.encode(F.col("text"), "UTF-8"), 256))
+    judged = contamination(documents.select(text_key.alias("doc_id"), "text"), benchmark)
+    bad = stored(judged.filter("contaminated").select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
+    kept = documents.withColumn("_text", text_key).join(_small(bad), "_text", "left_anti")
+    return only(kept, documents.columns)

@@ -41,6 +41,8 @@ ROWS_PER_BLOCK = 1024
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 _PART = (1 << SKETCH_BITS) // SKETCH_PARTS
 
+#: The number of a row of a stored input.
+ROW = "_row"
 PROFILE = "id long, n long, node long, part int, counts binary"
 ENTRY = "gram long, node long, n int, place int"
 LISTED = "gram long, node long, n int, hub long, members int"
@@ -461,3 +463,20 @@ def without_near_copies(documents: DataFrame) -> DataFrame:
     again = F.broadcast(repeated) if count <= BROADCAST_SETS else repeated
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*kept.columns))
+
+
+def one_row_of_each_component(documents: DataFrame) -> DataFrame:
+    """Exactly one row of each component of texts stays, with all columns of the table; the pipeline's stage.
+
+    Rows are told apart by a number, given when the input is stored, so it does not matter whether they have an id or share it.
+    The row with the smallest id stays, one without an id only if no row of the component has one. Texts without words are alone.
+    """
+    numbered = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    classes = NgramJaccardJoin(numbered.select(F.col(ROW).alias("id"), "text")).classes()
+    about = stored(classes.join(numbered.select(F.col(ROW).alias("id"), "doc_id"), "id"), "about")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("first")
+    staying = about.groupBy("component_id").agg(first).select(F.col("first.id").alias("id"))
+    dropped = stored(about.join(staying, "id", "left_anti").select(F.col("id").alias(ROW)), "dropped")
+    few = dropped.count() <= BROADCAST_SETS
+    kept = numbered.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti")
+    return only(kept, documents.columns)
