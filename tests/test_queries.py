@@ -54,3 +54,32 @@ def test_whole_training_job(spark):
     rows = result.metrics().collect()
     assert len(rows) == 5 and all(r["n"] > 0 and r["mse"] >= 0 for r in rows)
     assert result.loss().count() == 5
+
+
+def test_every_candidate_is_ranked(spark):
+    from tidegrid.plans import jobs
+
+    scored = QUERIES["feature_scores_all"](spark, FOLDER).select("feature").distinct().collect()
+    wanted = {name for name in jobs.MODEL_COLUMNS if name != "close"} | {"positive", "negative", "neutral"}
+    assert {r["feature"] for r in scored} == wanted and len(wanted) == 35
+
+
+def test_forecast_queries_run_the_whole_job(spark, monkeypatch):
+    from tidegrid.plans import jobs
+
+    kept = []
+    made = spark.range(1)
+    monkeypatch.setattr(jobs, "train_and_compare", lambda bars, *_: kept.append(bars.columns) or jobs.Forecast(made, made))
+    for name in ("forecast", "comparison"):
+        assert QUERIES[name](spark, FOLDER).count() == 1
+    assert len(kept) == 2
+
+
+def test_completeness_asks_every_column(spark, monkeypatch):
+    from tidegrid.operators import asof
+    from tidegrid.plans import jobs
+
+    asked = []
+    monkeypatch.setattr(asof, "complete_rows", lambda df, columns: asked.append(list(columns)) or df)
+    QUERIES["asof_complete_all"](spark, FOLDER)
+    assert asked == [jobs.MODEL_COLUMNS] and len(asked[0]) == 33

@@ -40,6 +40,8 @@ TODAY = date(2024, 1, 30)
 DIGITS = 6
 TOLERANCE_SECONDS = 15 * 60
 RANKED = ["open", "high", "low", "v", "n"]
+#: All that can be ranked for the forecast: bar values, indicators and class scores.
+CANDIDATES = [*[name for name in jobs.MODEL_COLUMNS if name != "close"], *text.CLASSES]
 VALUES = ["open", "high", "low", "close", "v", "n", "vw"]
 QUERIES: dict[str, Query] = {}
 
@@ -385,6 +387,14 @@ def asof_complete_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(asof.asof_complete_price(articles, shown, ["MA200", "Chikou"]))
 
 
+@register
+def asof_complete_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices from bars that have all values and all indicators."""
+    articles = market.articles(spark, folder).select("article_id", "symbol", F.col("created_at").alias("t"))
+    shown = indicators.all_features(laid_bars(spark, folder)).rows()
+    return rounded(asof.asof_complete_price(articles, shown, jobs.MODEL_COLUMNS))
+
+
 # -- aggregates
 
 
@@ -517,11 +527,24 @@ def feature_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(selection.feature_scores(scaled, RANKED, "close"), digits=4)
 
 
+def _training_table(spark: SparkSession, folder: str) -> Laid:
+    bars = cut_lineage(market.bars(spark, folder))
+    table = jobs.combined_features(bars, _sentiment(spark, folder), TOLERANCE_SECONDS)
+    return jobs.recut(cut_lineage(table.numbered()), table)
+
+
+@register
+def feature_scores_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every candidate of the training table; ``feature_scores`` is the part that has a SQL twin."""
+    return rounded(selection.feature_scores(_training_table(spark, folder).rows(), CANDIDATES, "close"), digits=4)
+
+
 @register
 def select_features(spark: SparkSession, folder: str) -> DataFrame:
-    scaled = scaling.minmax_scale(laid_bars(spark, folder), [*RANKED, "close"])
-    scores = selection.feature_scores(scaled.rows(), RANKED, "close")
-    return rounded(selection.select_features(scaled, scores, RANKED, "close"))
+    """Selection from all candidates of the training table."""
+    table = _training_table(spark, folder)
+    scores = selection.feature_scores(table.rows(), CANDIDATES, "close")
+    return rounded(selection.select_features(table, scores, CANDIDATES, "close"))
 
 
 @register
@@ -532,10 +555,15 @@ def feature_union(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(joined.select("symbol", "t", *selection.feature_union(["close", "v"], text.CLASSES)))
 
 
+def _trained(spark: SparkSession, folder: str) -> jobs.Forecast:
+    bars = cut_lineage(market.bars(spark, folder))
+    return jobs.train_and_compare(bars, _sentiment(spark, folder), TOLERANCE_SECONDS)
+
+
 @register
 def next_close(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicted scaled close of the test part, by a linear model of the last 60 rows."""
-    return rounded(jobs.forecast_close(market.bars(spark, folder), ["close", "v"]).scaled)
+    """Predicted scaled close of the test part, by a linear model of the last 60 rows of the selected columns."""
+    return rounded(_trained(spark, folder).scaled)
 
 
 QUERIES["forecast"] = QUERIES.pop("next_close")
@@ -543,7 +571,13 @@ QUERIES["forecast"] = QUERIES.pop("next_close")
 
 @register
 def comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(jobs.forecast_close(market.bars(spark, folder), ["close", "v"]).compared)
+    return rounded(_trained(spark, folder).compared)
+
+
+@register
+def train_and_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job: training table, ranking, selection, forecast and the metrics of its comparison."""
+    return rounded(_trained(spark, folder).metrics())
 
 
 @register
