@@ -207,6 +207,8 @@ def _column_block(percent: int):
         order = np.argsort(gram, kind="stable")
         length = _runs(gram[order])[1]
         order = order[np.repeat(length > 1, length)]
+        if not len(order):
+            return
         # the same set from several tasks counts once
         order = order[np.lexsort((node[order], n[order], gram[order]))]
         gram, node, n, place = gram[order], node[order], n[order], place[order]
@@ -215,6 +217,8 @@ def _column_block(percent: int):
         gram, node, n, place = gram[first], node[first], n[first].astype(np.int64), place[first]
         near = (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:])
         keep = np.append(near, False) | np.append([False], near)
+        if not keep.any():
+            return
         gram, node, n, place = gram[keep], node[keep], n[keep], place[keep]
         order = np.lexsort((node, place, gram))
         gram, node, n = gram[order], node[order], n[order].astype(np.int32)

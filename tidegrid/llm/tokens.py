@@ -1,7 +1,8 @@
 """Token ids of a public byte-level BPE, read from its tokenizer file.
 
 The file's vocabulary is given to tiktoken, which makes the same ids several times faster than the file's own library (tests
-compare the two). Strings of the file's special tokens become those tokens, as in the file's own library.
+compare the two). Strings of the file's special tokens become those tokens, as in the file's own library. Texts whose runs of
+one kind of character are too long for tiktoken's pattern are encoded by the file's own library.
 """
 
 from __future__ import annotations
@@ -50,9 +51,26 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def own_encoder(path: str):
+    """The file's own library, for texts that the faster one cannot split; one per Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def ids_of(text: str, path: str) -> np.ndarray:
-    """The ids of one whole text as unsigned 32-bit numbers."""
+    """The ids of one whole text as unsigned 32-bit numbers, whatever its length."""
     known = encoder(path)
-    if any(s in text for s in known.special_tokens_set):
-        return np.array(known.encode(text, allowed_special="all"), dtype="<u4")
-    return known.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    try:
+        if any(s in text for s in known.special_tokens_set):
+            return np.array(known.encode(text, allowed_special="all"), dtype="<u4")
+        return known.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    except ValueError:
+        if not path.endswith(".json"):
+            raise
+        return _own_ids(text, path)
+
+
+def _own_ids(text: str, path: str) -> np.ndarray:
+    return np.array(own_encoder(path).encode(text, add_special_tokens=False).ids, dtype="<u4")

@@ -43,7 +43,11 @@ def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
+
+
+def _unpacked(packed, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<i8").reshape(rows, width)
 
 
 def _assigned(sent, width: int):
@@ -90,7 +94,7 @@ def _cells_for(sent, width: int, first: int | None):
                 continue
             ids = batch.column("id").to_numpy()
             copies = batch.column("copies").to_numpy()
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype="<i8").reshape(-1, width)
+            x = _unpacked(b"".join(batch.column("vector").to_pylist()), batch.num_rows, width)
             bound = _bounds(pivots, radius, x)
             order = np.argsort(-bound, axis=1, kind="stable")
             probed = np.zeros(bound.shape, dtype=bool)
@@ -132,11 +136,11 @@ def _solve(width: int, k: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         data = data.sort_values("id")
         ids = data["id"].to_numpy()
-        x = np.frombuffer(b"".join(data["vector"]), dtype="<i8").reshape(-1, width)
-        out = []
+        x = _unpacked(b"".join(data["vector"]), len(data), width)
+        query_ids, found, scores = [], [], []
         for names, copies, packed in zip(asked["ids"], asked["copies"], asked["packed"], strict=True):
             queries, times = np.frombuffer(names, dtype="<i8"), np.frombuffer(copies, dtype="<i8")
-            score = _products(np.frombuffer(packed, dtype="<i8").reshape(-1, width), x)
+            score = _products(_unpacked(packed, len(queries), width), x)
             own = queries[:, None] == ids[None, :]
             for row, query in enumerate(queries.tolist()):
                 mine, values = ids[~own[row]], score[row][~own[row]]
@@ -147,8 +151,10 @@ def _solve(width: int, k: int):
                     mine, values = mine[keep], values[keep]
                 if times[row] > 1:
                     mine, values = np.repeat(mine, times[row]), np.repeat(values, times[row])
-                out.append(pd.DataFrame({"query_id": query, "vec_id": mine, "score": values}))
-        return pd.concat(out, ignore_index=True)
+                query_ids.append(np.full(len(mine), query))
+                found.append(mine)
+                scores.append(values)
+        return pd.DataFrame({"query_id": np.concatenate(query_ids), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
 
@@ -170,21 +176,34 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = K, most_pivots: int =
     """``id, parts`` rows of whole numbers -> ``query_id, rank, vec_id, score``: per query its k best other points.
 
     Points of the query's own id are no candidates. With fewer than k candidates all are returned; empty tables give an empty
-    table. Every row counts: a point stored n times takes n ranks, and each point is ranked once for every row of the query. All
-    vectors need one length, else a ValueError is raised.
+    table. Every row counts: a point stored n times takes n ranks, and each point is ranked once for every row of the query.
+    Vectors are ranked among those of their own length (without components all score 0). Components so large that a score might
+    not fit a long raise a ValueError.
     """
     spark = points.sparkSession
-    shape = points.select(F.size("parts").alias("w")).agg(F.min("w"), F.max("w"), F.count("*")).first()
-    if not shape[2]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if shape[0] != shape[1]:
-        raise ValueError(f"vectors of {shape[0]} and of {shape[1]} components")
-    width, total = shape[1], shape[2]
+    size, parts = F.size("parts").alias("w"), F.col("parts")
+    top = F.greatest(F.array_max(parts), -(F.array_min(parts) + 1))
+    shapes = points.groupBy(size).agg(F.count("*").alias("n"), F.max(top).alias("top")).orderBy("w").collect()  # a row per length
+    for w, _, largest in shapes:
+        if w and (largest + 1) ** 2 * w >= 1 << 63:
+            raise ValueError(f"components up to {largest}: scores of {w} components may not fit a long")
+    if len(shapes) == 1:
+        return _of_width(points, queries, k, most_pivots, shapes[0][0], shapes[0][1])
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for w, n, _ in shapes:
+        same = F.size("parts") == w
+        found = found.union(_of_width(points.filter(same), queries.filter(same), k, most_pivots, w, n))
+    return found
+
+
+def _of_width(points: DataFrame, queries: DataFrame, k: int, most_pivots: int, width: int, total: int) -> DataFrame:
+    """``top_k`` among ``total`` vectors of one length."""
+    spark = points.sparkSession
     wanted = min(most_pivots, max(1, math.isqrt(total)))
     share = min(1.0, 4.0 * wanted / total)
     spread = F.pmod(F.xxhash64("parts"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))
     drawn = points.filter(spread).select("parts").distinct().orderBy(F.xxhash64("parts"), "parts").limit(wanted).collect()
-    pivots = np.array([r["parts"] for r in drawn] or [[0] * width], dtype=np.float64).reshape(-1, width)
+    pivots = np.array([r["parts"] for r in drawn] or [[0] * width], dtype=np.float64).reshape(max(len(drawn), 1), width)
     sent = spark.sparkContext.broadcast(pivots)
     schema = "id long, copies long, cell int, far double, vector binary"
     single = points.select("id", F.lit(1).cast("long").alias("copies"), "parts")
