@@ -78,13 +78,11 @@ def test_softmax_and_label(spark):
     assert rows[1][:3] == pytest.approx((1, 0, 0))
 
 
-@pytest.mark.parametrize("small", [0, 100])
-def test_lexicon_counts_the_whole_text_once_per_word(spark, small):
-    """Looked up within the row, or joined when the lexicon is larger than ``small``."""
+def test_lexicon_counts_the_whole_text_once_per_word(spark):
     lexicon = spark.createDataFrame([("up", "positive", 1.0), ("down", "negative", 0.5)], "word string, class string, weight double")
     long = "filler " * 2000 + "Up, up! down"
     articles = spark.createDataFrame([(1, long), (2, "nothing here"), (3, None)], "article_id bigint, body string")
-    rows = {r["article_id"]: r for r in sentiment.lexicon_scores(articles, lexicon, text.tokens("body"), small=small).collect()}
+    rows = {r["article_id"]: r for r in sentiment.lexicon_scores(articles, lexicon, text.tokens("body")).collect()}
     assert (rows[1]["score_positive"], rows[1]["score_negative"]) == (2.0, 0.5)
     for article in (2, 3):
         assert rows[article]["positive"] == pytest.approx(1 / 3)
