@@ -18,7 +18,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "-"
     if isinstance(value, float):
         return repr(value + 0.0)
@@ -34,7 +34,9 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str:
     """Empty if both hold the same rows, else what differs."""
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} / {sorted(sql_frame.columns)}"
-    ours, theirs = rows_of(spark_frame), rows_of(sql_frame)
+    # whole numbers with NULLs come as floats from one side and as nullable integers from the other
+    whole = [c for c in sql_frame.columns if str(sql_frame[c].dtype).startswith("Int") and str(spark_frame[c].dtype) == "float64"]
+    ours, theirs = rows_of(spark_frame.astype(dict.fromkeys(whole, "Int64"))), rows_of(sql_frame)
     if ours == theirs:
         return ""
     only_ours = sorted(set(ours) - set(theirs))
