@@ -124,3 +124,28 @@ def test_stages_work_on_rows_and_not_on_ids(spark, tmp_path):
     kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[6]]))
+
+
+def test_columns_of_the_user_come_back_unchanged(spark, tmp_path):
+    docs, items, _ = corpus()
+    names = ["pattern", "junk_posterior", "clean_score", "row", "_row", "row1", "_text", "text_key", "Column 0", "id", "n", "node", "part"]
+    rows = [(d, t, *[f"{name} of {d}" for name in names]) for d, t in docs[:60]]
+    schema = "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in names)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, frame, str(tmp_path))
+        assert kept.columns == frame.columns, name
+        found = kept.collect()
+        assert len(found) > 20
+        for r in found:
+            assert list(r)[2:] == [f"{n} of {r['doc_id']}" for n in names], name
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() >= 60
+
+
+def test_stages_on_very_long_and_on_no_texts(spark, tmp_path):
+    texts = [" " * 2_000_000, "\n" * 1_000_000, "a" * 1_000_000, "5 " * 300_000, "word " * 200_000, None, ""]
+    spark.createDataFrame([(1, "x " * 12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert {0, 1, 5, 6} <= set(found.doc_id) and (found.length <= 2048).all()

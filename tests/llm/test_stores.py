@@ -68,8 +68,7 @@ def test_top_k_of_few_and_of_none(spark):
     few = spark.createDataFrame([(0, [1.0]), (50, [2.0])], kind)
     assert sorted(map(tuple, voronoi.exact_top_k(few).collect())) == [(0, 1, 50, 256 * 512), (50, 1, 0, 256 * 512)]
     assert voronoi.exact_top_k(few.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        voronoi.exact_top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], kind))
+    assert voronoi.exact_top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], kind)).count() == 0
 
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -189,7 +188,7 @@ def test_ids_are_those_of_the_file_s_own_library(spark, file_library):
 
 def test_packing_is_gapless_and_whole(spark, file_library):
     rows = [(k, t, "x", 1) for k, t in enumerate(TEXTS)] + [(None, "z", "x", 1), (2, TEXTS[2], "x", 1)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, bucket string, start int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, bucket string, row int")
     found = packing.pack_documents(frame, group_pieces=4).toPandas()
     for doc, text in enumerate(TEXTS):
         ids = np.array([*file_library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -204,6 +203,24 @@ def test_packing_is_gapless_and_whole(spark, file_library):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
+def test_equal_rows_spread_over_the_groups_and_bins_close(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "same text")] * 4000 + [(None, "same text")] * 100, "doc_id long, text string").repartition(4)
+    groups = 8
+    found = packing.pack_documents(frame, capacity=10, open_bins=4, group_pieces=4100 // groups + 1).toPandas()
+    sizes = (found.sequence_id % groups).value_counts()
+    assert len(found) == 4100 and len(sizes) == groups and sizes.max() < 2 * 4100 / groups
+    assert found.groupby("sequence_id").length.sum().max() <= 10
+
+
+def test_few_open_bins_come_near_the_least_number_of_sequences():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(np.maximum(rng.lognormal(5.5, 1.2, 16_384), 1), 2048).astype(int)
+    bins = packing.OpenBins()
+    used = {bins.place(n)[0] for n in lengths.tolist()}
+    assert bins.closed > 100 and bins.open <= packing.OPEN_BINS
+    assert len(used) <= 1.01 * -(-lengths.sum() // 2048)
+
+
 @pytest.mark.parametrize("open_bins", [1, 3, 10_000])
 def test_best_fit_chooses_the_fullest_bin(open_bins):
     """Against a plain search over a list of open bins."""

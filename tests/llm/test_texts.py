@@ -3,12 +3,13 @@
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
 
 from tidegrid.llm import pii, quality, secrets, toxicity
-from tidegrid.llm.tables import table
+from tidegrid.llm.tables import hash_share, table
 
 SF = "/root/testdata/sf0.1"
 CLASHING = "doc_id long, text string, score string, pattern string, spans int, words int, lang string"
@@ -179,6 +180,82 @@ def test_segment_programme_equals_enumeration():
     assert abs(sum(s[3] for s in cluster.best(weights)) - best[0]) < 1e-6
 
 
+OLD_CLUSTER = re.compile(r"(?:\+\x20?)?[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
+
+
+def test_clusters_are_runs_of_telling_pieces():
+    rng = np.random.default_rng(6)
+    pieces = ["a", "7", "@", "+", " ", "  ", "\n", "b+", "+ 5", "é", "x9", "\u00a0"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(0, 9)))
+        assert list(pii.clusters(text)) == [m.span() for m in OLD_CLUSTER.finditer(text)], text
+
+
+def test_one_programme_per_cluster_whatever_its_length():
+    rng = np.random.default_rng(7)
+    weights = rng.normal(0, 2, 1 << pii.FEATURES_LOG2)
+    for size in (1, 30, 97, 200):
+        text = "x " + " ".join(rng.choice(["7", "+1", "a@b", "10.2.3.4", "(5)", "4539578763621486"], size)) + " end"
+        for start, end in pii.clusters(text):
+            cluster = pii.Cluster(text, start, end)
+            wanted = [(pii.KINDS[k], cluster.bounds[i], cluster.bounds[j]) for i, j, k, _ in cluster.best(weights)]
+            assert [s[:3] for s in pii.best_spans(text, start, end, weights)] == wanted
+
+
+@pytest.fixture(scope="module")
+def card_weights(spark):
+    """A field that has seen cards, addresses, mail and phone numbers between words."""
+    rows = [(k, f"pay {card(k)} now a{k}@b.example.org 10.1.{k % 250}.9 or +1 ({k % 900:03d}) 555-{1000 + k} on 7 of 9") for k in range(500)]
+    return pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_a_card_is_found_at_every_place_of_a_long_cluster(card_weights):
+    number = "4539578763621486"
+    for before in (0, 40, 52, 53, 54, 55, 56, 95, 96, 97, 112, 190):
+        lone = ["x1y"] * before
+        text = " ".join([*lone, f"{number[:4]}.{number[4:8]}.{number[8:12]}.{number[12:]}", *["x1y"] * (200 - before)])
+        place = text.index(number[:4])
+        found = pii.added_spans(text, pii.base_spans(text), card_weights)
+        alone = pii.added_spans(text[place : place + 19], [], card_weights)
+        inside = [(k, s - place, e - place) for k, s, e in found if s < place + 19 and e > place]
+        assert inside == alone or not alone
+
+
+def test_time_grows_with_the_text_and_not_with_its_square(card_weights):
+    line = "2024-01-01 10.0.0.7 user42@mail.example.org token=abcdefABCDEF0123456789 id 4539578763621486 ok\n"
+    model = secrets.fit_strings({"hex": [f"{k:040x}" for k in range(10**30, 10**30 + 300)]}, ["ordinarywords"] * 30)
+
+    def seconds(text):
+        began = time.perf_counter()
+        base = pii.base_spans(text)
+        pii.added_spans(text, base, card_weights)
+        found = secrets.base_spans(text)
+        secrets.inferred_spans(text, found, model)
+        return time.perf_counter() - began
+
+    small, large = min(seconds(line * 500) for _ in range(3)), seconds(line * 8000)
+    assert large < 16 * 4 * small
+    assert seconds("a" * 2_000_000 + " 5 " + " " * 1_000_000) < 20
+
+
+def test_a_kind_that_occurs_late_in_its_texts_is_learned(spark):
+    rng = np.random.default_rng(3)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(80)]
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 14)) for _ in range(300)]
+    rows = [(k, "filler " * 600 + f"{words[k % 300]} key {keys[k]} " + words[(7 * k) % 300]) for k in range(80)]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(model.automata) == {"hex"} and len(model.ordinary.moves[0]) > 1
+    assert not any(model.is_secret(w) for w in words)
+
+
+def test_the_smallest_share_still_draws(spark):
+    rows = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert 0 < rows.filter(hash_share(1e-2, "text")).count() < 100
+    assert rows.filter(hash_share(1.0, "text")).count() == 2000
+    spread = rows.selectExpr("shiftrightunsigned(xxhash64(text), 1) AS h").agg({"h": "min"}).first()[0]
+    assert rows.filter(hash_share((spread + 1) / 2**63 * 1.0001, "text")).count() >= 1
+
+
 def card(k):
     first = f"{400000000000000 + 7919 * k:015d}"
     return next(first + d for d in "0123456789" if pii.luhn(first + d))

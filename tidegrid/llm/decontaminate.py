@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.tables import only, stored
+from tidegrid.llm.tables import only, stored, unused
 
 WINDOW = 10
 #: Up to so many rows (terms, windows, texts with matches) a lookup table is broadcast; beyond, the join is shuffled.
@@ -165,6 +165,7 @@ def clean_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     text_key = F.unhex(F.sha2(F.encode(F.col("text"), "UTF-8"), 256))
     judged = contamination(documents.select(text_key.alias("doc_id"), "text"), benchmark)
-    bad = stored(judged.filter("contaminated").select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
-    kept = documents.withColumn("_text", text_key).join(_small(bad), "_text", "left_anti")
+    name = unused(documents, "text_key")
+    bad = stored(judged.filter("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    kept = documents.withColumn(name, text_key).join(_small(bad), name, "left_anti")
     return only(kept, documents.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import components
-from tidegrid.llm.tables import batch_of, only, stored
+from tidegrid.llm.tables import batch_of, only, stored, unused
 from tidegrid.llm.words import SPACE, Splitter, shingle_sets
 
 #: Counters of the frequency sketch, fixed at every size of input (2**23 counters, 8 MB once they are levels).
@@ -41,8 +41,6 @@ ROWS_PER_BLOCK = 1024
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 _PART = (1 << SKETCH_BITS) // SKETCH_PARTS
 
-#: The number of a row of a stored input.
-ROW = "_row"
 PROFILE = "id long, n long, node long, part int, counts binary"
 ENTRY = "gram long, node long, n int, place int"
 LISTED = "gram long, node long, n int, hub long, members int"
@@ -367,7 +365,9 @@ class NgramJaccardJoin:
         levels = self.spark.sparkContext.broadcast(_levels(self.profile))
         named = self.documents.filter("id IS NOT NULL")
         entries = named.mapInArrow(_prefix(self.size, self.percent, levels), ENTRY).repartition("gram")
-        return stored(entries.mapInArrow(_column_block(self.percent), LISTED), "lists")
+        lists = stored(entries.mapInArrow(_column_block(self.percent), LISTED), "lists")
+        levels.destroy()
+        return lists
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """``hub, node`` pairs -> the pairs ``a, b`` that reach the threshold, by exact counts over the whole sets."""
@@ -475,12 +475,13 @@ def one_row_of_each_component(documents: DataFrame) -> DataFrame:
     Rows are told apart by a number, given when the input is stored, so it does not matter whether they have an id or share it.
     The row with the smallest id stays, one without an id only if no row of the component has one. Texts without words are alone.
     """
-    numbered = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    classes = NgramJaccardJoin(numbered.select(F.col(ROW).alias("id"), "text")).classes()
-    about = stored(classes.join(numbered.select(F.col(ROW).alias("id"), "doc_id"), "id"), "about")
+    row = unused(documents, "row")
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = NgramJaccardJoin(numbered.select(F.col(row).alias("id"), "text")).classes()
+    about = stored(classes.join(numbered.select(F.col(row).alias("id"), "doc_id"), "id"), "about")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("first")
     staying = about.groupBy("component_id").agg(first).select(F.col("first.id").alias("id"))
-    dropped = stored(about.join(staying, "id", "left_anti").select(F.col("id").alias(ROW)), "dropped")
+    dropped = stored(about.join(staying, "id", "left_anti").select(F.col("id").alias(row)), "dropped")
     few = dropped.count() <= BROADCAST_SETS
-    kept = numbered.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti")
+    kept = numbered.join(F.broadcast(dropped) if few else dropped, row, "left_anti")
     return only(kept, documents.columns)

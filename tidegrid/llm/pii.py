@@ -3,8 +3,9 @@
 Texts are cut into clusters of atoms around digits and ``@``. A segmentation of a cluster gives every segment a type or none; its
 score is a sum over whole segments of weights of features of the whole span (digit counts, separators, check digits, neighbours).
 Segments have at most ``MOST_ATOMS`` atoms, so a dynamic programme over ends and starts finds the best segmentation, and the same
-recursion in logarithms gives the likelihood and its gradient for training. Training data are clusters of a bounded sample of
-documents, labelled by the base patterns; the field adds spans that look like them but escape the patterns. Base spans stay.
+recursion in logarithms gives the likelihood and its gradient for training. One programme runs over a whole cluster, whatever its
+length, and holds the scores of the last ``MOST_ATOMS`` places only. Training data are clusters of a bounded sample of documents,
+labelled by the base patterns; the field adds spans that look like them but escape the patterns. Base spans stay.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.tables import batch_of, only
+from tidegrid.llm.tables import batch_of, hash_share, only, stored
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_ATOMS = 16
@@ -31,14 +33,16 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-#: Clusters: white-space separated pieces with a digit or @, joined over single spaces; atoms are what they are made of.
-PIECE = r"[^\s]*[0-9@][^\s]*"
-CLUSTER = re.compile(rf"(?:\+\x20?)?{PIECE}(?:\x20{PIECE})*")
+#: Clusters are white-space separated pieces with a digit or @, joined over single spaces; atoms are what they are made of.
+PIECE = re.compile(r"\S+")
+TELLING = re.compile(r"[0-9@]")
 ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[\W_]", re.UNICODE)
 
-#: Documents of the training sample (spread by a hash), clusters of the training set, and the least margin of an added span.
+#: Documents of the training sample (about so many, spread by a hash), distinct clusters of the training set, the longest of them
+#: in characters (all are decoded), and the least margin of an added span.
 SAMPLE_DOCUMENTS = 50_000
 SAMPLE_CLUSTERS = 3_000
+LONGEST_TRAINED = 200
 LEAST_MARGIN = 4.0
 FEATURES_LOG2 = 12
 
@@ -86,6 +90,27 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def clusters(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the clusters of a whole text, in one pass; a + one space before a cluster belongs to it."""
+    start, end, before = None, 0, 0
+    for m in PIECE.finditer(text):
+        near = before > 0 and text[before : m.start()] == " "
+        if not TELLING.search(text, m.start(), m.end()):
+            if start is not None:
+                yield start, end
+                start = None
+        elif start is not None and near:
+            end = m.end()
+        else:
+            if start is not None:
+                yield start, end
+            # a + that ends the piece before
+            start, end = (before - 1 if near and text[before - 1] == "+" else m.start()), m.end()
+        before = m.end()
+    if start is not None:
+        yield start, end
+
+
 def _beside(text: str, at: int) -> str:
     """The character beside a span; the end of the text is like white space."""
     c = text[at] if 0 <= at < len(text) else " "
@@ -119,6 +144,20 @@ def _features(kind: str, text: str, start: int, end: int, atoms: int) -> list[in
     return [int.from_bytes(hashlib.blake2b(f"{kind}|{name}".encode(), digest_size=4).digest(), "little") & mask for name in names]
 
 
+def _segments_from(text: str, bounds: list[int], i: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """(end, kind) of the segments that begin with atom ``i`` and may be entities, and their features."""
+    first = text[bounds[i]]
+    segments, features = [], []
+    if first.isalnum() or first in "+(":
+        for j in range(i + 1, min(len(bounds) - 1, i + MOST_ATOMS) + 1):
+            begin, stop = bounds[i], bounds[j]
+            if text[stop - 1].isalnum() and any(c.isdigit() or c == "@" for c in text[begin:stop]):
+                for k, kind in enumerate(KINDS):
+                    segments.append((j, k))
+                    features.append(_features(kind, text, begin, stop, j - i))
+    return segments, features
+
+
 class Cluster:
     """Atoms of one cluster and the segments that may be entities: they begin and end with a letter, a digit, + or (."""
 
@@ -128,16 +167,9 @@ class Cluster:
         self.segments: list[tuple[int, int, int]] = []
         self.features: list[list[int]] = []
         for i in range(self.size):
-            first = text[self.bounds[i]]
-            if not (first.isalnum() or first in "+("):
-                continue
-            for j in range(i + 1, min(self.size, i + MOST_ATOMS) + 1):
-                begin, stop = self.bounds[i], self.bounds[j]
-                if not text[stop - 1].isalnum() or not any(c.isdigit() or c == "@" for c in text[begin:stop]):
-                    continue
-                for k, kind in enumerate(KINDS):
-                    self.segments.append((i, j, k))
-                    self.features.append(_features(kind, text, begin, stop, j - i))
+            segments, features = _segments_from(text, self.bounds, i)
+            self.segments += [(i, j, k) for j, k in segments]
+            self.features += features
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return weights[np.array(self.features)].sum(axis=1) if self.features else np.zeros(0)
@@ -222,40 +254,76 @@ def train(clusters: list[tuple[Cluster, list[int]]], rounds: int = 6, rate: floa
     return weights
 
 
-#: A cluster of more atoms is decoded in parts of this size with an overlap of MOST_ATOMS, so a page of digits stays linear.
-PART_ATOMS = 96
-
-
-def clusters_of(text: str) -> Iterator[Cluster]:
-    """The clusters of a whole text, long ones in overlapping parts."""
-    for m in CLUSTER.finditer(text):
-        bounds = [m.start()] + [a.end() for a in ATOM.finditer(text, m.start(), m.end())]
-        for first in range(0, len(bounds) - 1, PART_ATOMS):
-            last = min(first + PART_ATOMS + MOST_ATOMS, len(bounds) - 1)
-            yield Cluster(text, bounds[first], bounds[last])
+def best_spans(text: str, start: int, end: int, weights: np.ndarray) -> Iterator[tuple[str, int, int, float]]:
+    """The best segmentation of one cluster, as ``Cluster.best`` finds it, with the segments of one place at a time in memory."""
+    bounds = [start] + [m.end() for m in ATOM.finditer(text, start, end)]
+    size = len(bounds) - 1
+    value, back = [0.0] * (size + 1), [None] * (size + 1)
+    waiting: dict[int, tuple[float, int, int, float]] = {}  # end -> value, start, kind, score of the best segment so far
+    for i in range(size):
+        if i:
+            value[i] = value[i - 1]
+            best = waiting.pop(i, None)
+            if best and best[0] > value[i]:
+                value[i], back[i] = best[0], best[1:]
+        segments, features = _segments_from(text, bounds, i)
+        if segments:
+            for (j, k), score in zip(segments, weights[np.array(features)].sum(axis=1).tolist(), strict=True):
+                if j not in waiting or value[i] + score > waiting[j][0]:
+                    waiting[j] = (value[i] + score, i, k, score)
+    if size:
+        value[size] = value[size - 1]
+        best = waiting.pop(size, None)
+        if best and best[0] > value[size]:
+            back[size] = best[1:]
+    chosen, j = [], size
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+            continue
+        i, k, score = back[j]
+        chosen.append((KINDS[k], bounds[i], bounds[j], score))
+        j = i
+    return reversed(chosen)
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
-    """What the field takes for personal data beside the base spans; overlaps go to the earlier span."""
+    """What the field takes for personal data beside the base spans, which win where they touch; one pass over both."""
     if not any("0" <= c <= "9" for c in text) and "@" not in text:
         return []
-    taken = [(s, e) for _, s, e in base]
+    covered = _merged(base)
     found: list[Span] = []
-    covered = sorted(taken)
-    for m in CLUSTER.finditer(text):
+    first = 0
+    for opening, closing in clusters(text):
+        while first < len(covered) and covered[first][1] <= opening:
+            first += 1
+        last = first
+        while last < len(covered) and covered[last][0] < closing:
+            last += 1
+        own = covered[first:last]
         # a cluster that is a base span and nothing else has nothing to add
-        rest = any(c.isdigit() or c == "@" for c in _outside(text, m.start(), m.end(), covered))
-        if not rest:
+        if not any(c.isdigit() or c == "@" for c in _outside(text, opening, closing, own)):
             continue
-        for cluster in clusters_of(text[m.start() : m.end()]):
-            for i, j, k, score in cluster.best(weights):
-                start, end = m.start() + cluster.bounds[i], m.start() + cluster.bounds[j]
-                if score >= LEAST_MARGIN and not any(s < end and start < e for s, e in taken):
-                    found.append((KINDS[k], start, end))
-                    taken.append((start, end))
+        place = 0
+        for kind, start, end, score in best_spans(text, opening, closing, weights):
+            while place < len(own) and own[place][1] <= start:
+                place += 1
+            if score >= LEAST_MARGIN and (place == len(own) or own[place][0] >= end):
+                found.append((kind, start, end))
     return found
 
 
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that the spans cover, as sorted ranges that do not overlap."""
+    out: list[tuple[int, int]] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def _outside(text: str, start: int, end: int, covered: list[tuple[int, int]]) -> str:
     pieces, at = [], start
     for s, e in covered:
@@ -276,10 +344,13 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
-            for m in CLUSTER.finditer(text):
-                if m.end() - m.start() <= 200:
-                    inside = [(k, s - m.start(), e - m.start()) for k, s, e in base if m.start() <= s and e <= m.end()]
-                    texts.append(m[0])
+            order = sorted(base, key=lambda s: s[1])
+            starts = [s[1] for s in order]
+            for start, end in clusters(text):
+                if end - start <= LONGEST_TRAINED:
+                    own = order[bisect_left(starts, start) : bisect_left(starts, end)]
+                    inside = sorted(((k, s - start, e - start) for k, s, e in own if e <= end), key=lambda s: (KINDS.index(s[0]), s[1]))
+                    texts.append(text[start:end])
                     spans.append(joined(inside))
                     hits.append(inside[0][0] if inside else "")
         yield batch_of(text=pa.array(texts, pa.string()), spans=pa.array(spans, pa.string()), kind=pa.array(hits, pa.string()))
@@ -291,17 +362,16 @@ def parse(spans: str) -> list[Span]:
 
 def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_clusters: int = SAMPLE_CLUSTERS) -> np.ndarray:
     """Weights, from at most ``sample_clusters`` distinct clusters of a bounded sample of documents, evenly over the kinds."""
-    share = min(1.0, sample_documents / max(documents.count(), 1))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
-    seen = only(documents, ["text"]).filter(spread).mapInArrow(_clusters, "text string, spans string, kind string").distinct()
-    seen = seen.withColumn("at", F.xxhash64("text")).persist()
+    share = sample_documents / max(documents.count(), 1)
+    sample = only(documents, ["text"]).filter(hash_share(share, "text"))
+    seen = sample.mapInArrow(_clusters, "text string, spans string, kind string").distinct()
+    seen = stored(seen.withColumn("at", F.xxhash64("text")), "clusters")
     clusters = []
     for kind in (*KINDS, ""):
         chosen = seen.filter(F.col("kind") == kind).orderBy("at", "text").limit(sample_clusters // 5)
         for r in chosen.collect():
             cluster = Cluster(r["text"], 0, len(r["text"]))
             clusters.append((cluster, cluster.gold(parse(r["spans"]))))
-    seen.unpersist()
     return train(clusters)
 
 
@@ -334,7 +404,8 @@ def _found(sent):
 def personal_data(documents: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` per row; counts and digest are of base spans.
 
-    A null text counts as empty: no spans, the digest of nothing. Repeated rows have equal results; other columns are ignored.
+    A null text counts as empty: no spans, the digest of nothing. A text of any length is read whole, in time in proportion to it.
+    Repeated rows have equal results; other columns are ignored.
     """
     plain = only(documents, ["doc_id", "text"])
     sent = documents.sparkSession.sparkContext.broadcast(fit(plain) if weights is None else weights)

@@ -240,10 +240,11 @@ def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Quali
     posterior[patterns] = found
     total = sum(r["count"] for r in counted)
     share = min(1.0, sample_documents / max(total, 1))
-    sample = seen.filter(F.col("spread") < int(share * 2**53) + 1).select("pattern", "buckets", "shares")
+    near = seen.filter(F.col("spread") < int(share * 2**53) + 1).dropDuplicates(["spread"])  # copies count once
+    sample = near.orderBy("spread").limit(2 * sample_documents).select("pattern", "buckets", "shares")
     rows = [
         (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), 1 - posterior[r["pattern"]])
-        for r in sample.limit(2 * sample_documents).toLocalIterator()
+        for r in sample.toLocalIterator()
     ]
     return QualityModel(posterior, fit_scorer(rows), chance, prior)
 
@@ -284,9 +285,14 @@ def score(documents: DataFrame, model: QualityModel, columns: list[str] | None =
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of the table that the classifier keeps, with the columns of the table."""
-    scored = score(documents, fit(documents))
-    return scored.filter(F.col("clean_score") >= KEEP_FROM).select(*[scored[f"`{c}`"] for c in documents.columns])
+    """The rows of the table that the classifier keeps, with the columns of the table, whatever their names.
+
+    Null, empty and blank texts are kept, repeated rows are judged alike; a very long text counts whole.
+    """
+    # on their way through the scorer the columns have names that its own cannot clash with
+    names = [c if c == "text" else f"column {k}" for k, c in enumerate(documents.columns)]
+    scored = score(documents.toDF(*names), fit(documents))
+    return scored.filter(F.col("clean_score") >= KEEP_FROM).select(*[f"`{c}`" for c in names]).toDF(*documents.columns)
 
 
 def quality_scores(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.tables import batch_of, only
+from tidegrid.llm.tables import batch_of, hash_share, only, stored
 
 # The base patterns and the least sizes of what they find.
 ASSIGN = re.compile(
@@ -33,10 +33,13 @@ _HINTS = ("password", "passwd", "secret", "token", "api")
 
 #: A candidate is a run of credential characters with a digit or with capitals inside.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_LONG_WORD = re.compile(r"[A-Za-z]{12,}")
 
-#: Documents that the automata are fitted on (spread by a hash), and strings per kind.
+#: Documents that the automata are fitted on (about so many, spread by a hash), distinct strings per kind, and the fewest strings
+#: of a kind from which a format is inferred: with fewer the threshold would rest on less than a handful of them.
 SAMPLE_DOCUMENTS = 50_000
 SAMPLE_STRINGS = 2_000
+LEAST_STRINGS = 20
 #: Confidence of the compatibility test, and the share of labelled credentials that may score below the threshold.
 ALPHA = 0.05
 MISSED_SHARE = 0.02
@@ -204,11 +207,14 @@ class SecretModel:
 
 
 def fit_strings(strings: dict[str, list[str]], words: list[str]) -> SecretModel:
-    """Automata from labelled credentials; every fifth string is kept from the tree and used for the threshold."""
+    """Automata from labelled credentials; every fifth string is kept from the tree and used for the threshold.
+
+    A kind with fewer than LEAST_STRINGS distinct strings gets no automaton.
+    """
     automata = {}
     for kind in KINDS[:3]:
         own = sorted(set(strings.get(kind, [])), key=lambda w: hashlib.md5(w.encode()).digest())
-        if len(own) < 20:
+        if len(own) < LEAST_STRINGS:
             continue
         built = infer(w for k, w in enumerate(own) if k % 5)
         held = sorted(built.mean_log(w) for k, w in enumerate(own) if k % 5 == 0)
@@ -224,11 +230,15 @@ def _ordinary_candidate(word: str) -> bool:
 
 
 def inferred_spans(text: str, base: list[Span], model: SecretModel) -> list[Span]:
-    """Candidates outside the base spans that an automaton takes for credentials."""
+    """Candidates that an automaton takes for credentials, unless a base span holds them whole; one pass over both lists."""
     found = []
+    place, reached = 0, 0
     for m in CANDIDATE.finditer(text):
+        while place < len(base) and base[place][1] <= m.start():
+            reached = max(reached, base[place][2])
+            place += 1
         word = m[0]
-        if not _ordinary_candidate(word) and not any(s < m.end() and m.start() < e for _, s, e in base) and model.is_secret(word):
+        if reached < m.end() and not _ordinary_candidate(word) and model.is_secret(word):
             found.append(("inferred", m.start(), m.end()))
     return found
 
@@ -238,31 +248,28 @@ def joined(spans: list[Span]) -> str:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled strings and some ordinary words of the sampled documents."""
+    """The distinct labelled strings and ordinary words of the whole sampled texts, batch by batch."""
     for batch in batches:
-        kinds, strings = [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            for kind, word in labelled_strings(text):
-                kinds.append(kind)
-                strings.append(word)
-            ordinary = [w for w in re.findall(r"[A-Za-z]{12,}", text[:2000]) if _ordinary_candidate(w)][:2]
-            kinds += ["ordinary"] * len(ordinary)
-            strings += ordinary
-        yield batch_of(kind=pa.array(kinds, pa.string()), word=pa.array(strings, pa.string()))
+        seen: set[tuple[str, str]] = set()
+        for value in batch.column("text"):
+            text = value.as_py() or ""
+            seen.update(labelled_strings(text))
+            seen.update(("ordinary", w) for w in _LONG_WORD.findall(text) if _ordinary_candidate(w))
+        yield batch_of(kind=pa.array([k for k, _ in seen], pa.string()), word=pa.array([w for _, w in seen], pa.string()))
 
 
 def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> SecretModel:
-    """The model of a table: labelled strings of a bounded sample of its documents, at most SAMPLE_STRINGS of a kind."""
-    share = min(1.0, sample_documents / max(documents.count(), 1))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
-    words = only(documents, ["text"]).filter(spread).mapInArrow(_sampled, "kind string, word string").distinct()
+    """The model of a table: labelled strings and ordinary words of a bounded sample of its documents, each taken whole.
+
+    Of each kind at most SAMPLE_STRINGS distinct strings are used, those with the least hashes.
+    """
+    share = sample_documents / max(documents.count(), 1)
+    words = only(documents, ["text"]).filter(hash_share(share, "text")).mapInArrow(_sampled, "kind string, word string").distinct()
     strings: dict[str, list[str]] = {}
-    order = words.select("kind", "word", F.xxhash64("word").alias("at")).persist()
+    order = stored(words.select("kind", "word", F.xxhash64("word").alias("at")), "strings")
     for kind in (*KINDS[:3], "ordinary"):
         chosen = order.filter(F.col("kind") == kind).orderBy("at", "word").limit(SAMPLE_STRINGS)
         strings[kind] = [r["word"] for r in chosen.collect()]
-    order.unpersist()
     return fit_strings(strings, strings.pop("ordinary"))
 
 
@@ -293,8 +300,8 @@ _ADDED = "n_assign long, n_access long, n_hex long, n_inferred long, base_sha256
 def scan(documents: DataFrame, model: SecretModel) -> DataFrame:
     """The columns of the table and ``n_assign, n_access, n_hex, n_inferred, base_sha256, spans``.
 
-    A null text counts as empty: no spans, the digest of nothing. Repeated rows have equal results; added columns replace
-    columns of the same name.
+    A null text counts as empty: no spans, the digest of nothing. A text of any length is scanned whole, in time in proportion to
+    it. Repeated rows have equal results; added columns replace columns of the same name.
     """
     names = {part.split()[0] for part in _ADDED.split(", ")}
     kept = only(documents, [c for c in documents.columns if c not in names])

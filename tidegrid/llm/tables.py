@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.session import scratch_path
 
@@ -38,6 +39,22 @@ def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name1``, ``name2`` ... that is no column of the table (in either case of letters)."""
+    taken, number, free = {c.lower() for c in df.columns}, 0, name
+    while free.lower() in taken:
+        number += 1
+        free = f"{name}{number}"
+    return free
+
+
+def hash_share(share: float, *columns: str) -> Column:
+    """True for about this share of all values, by 63 bits of a hash, so that the smallest share still finds some."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(max(1, int(share * (1 << 63))))
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
