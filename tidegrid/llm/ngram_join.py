@@ -10,7 +10,8 @@ Rows of the incidence are distinct n-gram sets (documents of one set share a row
    others, which is linear in the list. Overlaps of these pairs are counted exactly and links joined into components.
 5. What is left are pairs of different components. Lists are blocked by hub, counts are accumulated inside the block, and a
    pair is discarded if its count, the columns it may share elsewhere and the suffix bound stay below the overlap its sizes
-   ask for. Only survivors become rows; their overlaps are counted exactly.
+   ask for. The counts of the survivors are summed over the blocks, which gives the overlap of the prefixes, and pairs are
+   discarded by the same bound again. Only then overlaps are counted exactly over the whole sets.
 
 A link inside a component already found is never counted again, so groups of near copies do not become all their pairs.
 """
@@ -241,9 +242,13 @@ def _needed(a, b, percent: int):
 
 
 def _row_blocks(percent: int):
-    """Blocks of (hub, salt): pairs of different components that the accumulated counts do not rule out."""
+    """Blocks of (hub, salt): pairs of different components that the accumulated counts do not rule out.
 
-    def pairs_of(block: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+    ``common`` is what the pair shares in the lists of the hub, ``lack`` the least that it has to share in all lists: two sets share
+    at most that and the longer suffix behind their prefixes.
+    """
+
+    def pairs_of(hub: int, block: dict[str, np.ndarray]) -> pa.RecordBatch | None:
         stray = block["row"]
         if not stray.any():
             return None
@@ -256,7 +261,7 @@ def _row_blocks(percent: int):
         rows = np.unique(place[stray])
         row_of = np.full(len(nodes), -1)
         row_of[rows] = np.arange(len(rows))
-        found_a, found_b = [], []
+        found = []
         order = np.argsort(block["gram"], kind="stable")
         place = place[order]
         first, length = _runs(block["gram"][order])
@@ -270,20 +275,25 @@ def _row_blocks(percent: int):
                 counts[np.ix_(own, members)] += 1
             mine, other = np.nonzero(counts)
             a, b = rows[mine + low], other
-            most = counts[mine, other] + np.minimum(elsewhere[a], elsewhere[b]) + np.maximum(suffix[a], suffix[b])
+            common = counts[mine, other]
+            lack = _needed(n[a], n[b], percent) - np.maximum(suffix[a], suffix[b])
             sizes_fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            keep = (root[a] != root[b]) & sizes_fit & (most >= _needed(n[a], n[b], percent))
-            found_a.append(np.minimum(nodes[a[keep]], nodes[b[keep]]))
-            found_b.append(np.maximum(nodes[a[keep]], nodes[b[keep]]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return batch_of(hub=pa.array(a), node=pa.array(b)) if len(a) else None
+            keep = (root[a] != root[b]) & sizes_fit & (common + np.minimum(elsewhere[a], elsewhere[b]) >= lack)
+            low_node, high_node = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
+            found.append([x[keep] for x in (low_node, high_node, common.astype(np.int64), lack)])
+        a, b, common, lack = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(a):
+            return None
+        return batch_of(
+            block=pa.array(np.full(len(a), hub)), hub=pa.array(a), node=pa.array(b), common=pa.array(common), lack=pa.array(lack)
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         key = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held and (out := pairs_of({k: np.concatenate([x[k] for x in held]) for k in held[0]})) is not None:
+            if held and (out := pairs_of(key[0], {k: np.concatenate([x[k] for x in held]) for k in held[0]})) is not None:
                 yield out
 
         for batch in batches:
@@ -421,7 +431,11 @@ class NgramJaccardJoin:
         mine = F.expr("stray AND pmod(xxhash64(node), salts) = salt").alias("row")
         blocks = spread.select("hub", "salt", "gram", "node", "n", "lists", "root", mine)
         blocks = blocks.repartition("hub", "salt").sortWithinPartitions("hub", "salt")
-        return blocks.mapInArrow(_row_blocks(self.percent), "hub long, node long").distinct()
+        counted = blocks.mapInArrow(_row_blocks(self.percent), "block long, hub long, node long, common long, lack long")
+        # two blocks of a hub give a pair of strays the same count
+        once = counted.dropDuplicates(["block", "hub", "node"])
+        sums = once.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("lack").alias("lack"))
+        return sums.filter("common >= lack").select("hub", "node")
 
     def roots(self) -> DataFrame:
         """``node, root`` for every set that is linked with another one and is not the root itself."""
