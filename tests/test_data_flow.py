@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import plain
 from test_indicators import collected, frame
-from tidegrid.operators import forecast, metrics, resample, scaling, selection, sequences
+from tidegrid.operators import forecast, metrics, resample, scaling, selection, sequences, window_model
 from tidegrid.operators.series import ROW, ROWS, lay_out
 from tidegrid.plans import jobs
 from tidegrid.sources import bars as bar_source
@@ -163,7 +164,7 @@ def test_feature_union():
     assert selection.feature_union(["b", "a"], ["c", "a"]) == ["a", "b", "c"]
 
 
-@pytest.mark.parametrize("method", ["linear", "boosted"])
+@pytest.mark.parametrize("method", ["linear", "boosted", "descent"])
 def test_forecast_of_a_learnable_series(spark, method):
     rows = plain.walk("A", 400)
     for i, row in enumerate(rows):
@@ -176,7 +177,105 @@ def test_forecast_of_a_learnable_series(spark, method):
     assert times[-1] == rows[-1]["t"] and len(times) == score["n"]
 
 
+def _short_and_long(spark):
+    """A series of 150 bars, one of 700 and one of 3, laid out in blocks of 128 rows with every indicator."""
+    from tidegrid.operators.series import lay_out
+
+    rows = plain.walk("A", 150) + plain.walk("B", 700) + plain.walk("C", 3)
+    bars = frame(spark, rows)
+    laid = jobs.scaled_features(bars)
+    return jobs.recut(laid.numbered(), lay_out(bars, block=128, back=64)), bars
+
+
+def test_selection_of_a_series_too_short_for_some_columns(spark):
+    laid, _ = _short_and_long(spark)
+    names = ["open", "high", "RSI", "MA50", "MA200"]
+    scores = selection.feature_scores(laid.rows(), names, "close")
+    found = selection.select_features(laid, scores, names, "close").toPandas()
+    short, long = found[found.symbol == "A"], found[found.symbol == "B"]
+    assert "MA200" not in set(scores.filter("symbol = 'A'").toPandas().feature)
+    assert "MA200" in set(scores.filter("symbol = 'B'").toPandas().feature)
+    assert set(short.rows_used) == {150} and set(long.rows_used) == {700}
+    assert np.isfinite(found.size_rmse).all() and "C" not in set(found.symbol)
+
+
+def _written_out(laid, features, rows=60):
+    """The sequences of a layout, as matrices per split."""
+    data = laid.numbered().toPandas().sort_values(["symbol", "_row"])
+    parts = {"train": [], "validation": [], "test": []}
+    for _, own in data.groupby("symbol"):
+        x, y = own[features].fillna(0.0).to_numpy(dtype=float), own["close"].to_numpy(dtype=float)
+        total = max(len(own) - rows, 0)
+        train = total - math.ceil(total * 0.2)
+        cut = math.floor(train * 0.8)
+        for k in range(total):
+            name = "train" if k < cut else "validation" if k < train else "test"
+            parts[name].append((x[k : k + rows].ravel(), y[k + rows]))
+    return {name: (np.array([a for a, _ in found]), np.array([b for _, b in found])) for name, found in parts.items()}
+
+
+def test_window_model_equals_the_written_out_one(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegression
+
+    laid, _ = _short_and_long(spark)
+    features = ["close", "RSI", "MA200"]
+    moments = window_model.WindowMoments.of(laid, features)
+    parts = _written_out(laid, features)
+    for name, (x, y) in parts.items():
+        cells = np.column_stack([np.ones(len(x)), x, y])
+        assert np.allclose(moments.sums[name], cells.T @ cells, atol=1e-9)
+    x = np.concatenate([parts["train"][0], parts["validation"][0]])
+    y = np.concatenate([parts["train"][1], parts["validation"][1]])
+    rows = [(float(b), Vectors.dense(a)) for a, b in zip(x, y, strict=True)]
+    learner = LinearRegression(labelCol="y", regParam=1e-3, elasticNetParam=0.0, solver="normal")
+    model = learner.fit(spark.createDataFrame(rows, ["y", "features"]))
+    weights = window_model.least_squares(moments)
+    assert np.allclose(weights[1:], model.coefficients.toArray(), atol=1e-9) and weights[0] == pytest.approx(model.intercept, abs=1e-9)
+    found = window_model.predict_windows(laid, features, weights).toPandas()
+    x, y = parts["test"]
+    assert sorted(found.predicted) == pytest.approx(sorted(x @ weights[1:] + weights[0])) and sorted(found.y) == pytest.approx(sorted(y))
+
+
+def test_losses_of_the_rounds_are_those_of_their_weights(spark):
+    laid, bars = _short_and_long(spark)
+    moments = window_model.WindowMoments.of(laid, ["close", "RSI"])
+    parts = _written_out(laid, ["close", "RSI"])
+    done = window_model.descend(moments, rounds=60, patience=3, rate=0.05)
+    for _, train, held, weights in done.rounds:
+        for name, loss in (("train", train), ("validation", held)):
+            x, y = parts[name]
+            assert loss == pytest.approx(np.mean((x @ weights[1:] + weights[0] - y) ** 2), rel=1e-6, abs=1e-12)
+    held = [r[2] for r in done.rounds]
+    assert done.best == int(np.argmin(held)) and held[0] > held[done.best]
+    assert len(held) == 60 or len(held) - 1 - done.best == 3
+    result = jobs.forecast_laid(laid, ["close", "RSI"], scaling.scalers(bars, ["close"]), "descent")
+    history = result.loss_history().toPandas()
+    assert history["kept"].sum() == 1 and history.columns.tolist() == ["round", "train_loss", "validation_loss", "kept"]
+    assert jobs.forecast_laid(laid, ["close"], scaling.scalers(bars, ["close"])).loss_history().count() == 0
+
+
+def test_window_model_of_no_and_of_few_rows(spark):
+    laid, _ = _short_and_long(spark)
+    for kept in (laid.frame.filter("symbol = 'C'"), laid.frame.limit(0)):
+        few = replace(laid, frame=kept)
+        moments = window_model.WindowMoments.of(few, ["close"])
+        weights = window_model.least_squares(moments)
+        assert not weights.any() and len(window_model.descend(moments).rounds) == 1
+        assert window_model.predict_windows(few, ["close"], weights).count() == 0
+
+
+def test_forecast_plan_holds_no_sequences(spark):
+    laid, bars = _short_and_long(spark)
+    plan = jobs.forecast_laid(laid, ["close", "v"], scaling.scalers(bars, ["close"])).compared._jdf.queryExecution().optimizedPlan()
+    assert "collect_list" not in plan.toString()
+
+
 def test_unknown_method(spark):
+    _, bars = _short_and_long(spark)
+    with pytest.raises(ValueError):
+        jobs.forecast_close(bars, ["close"], "guess")
+
     with pytest.raises(ValueError):
         forecast.fit_forecast(None, "guess")
 

@@ -1,6 +1,7 @@
 """Feature ranking and selection against a target, per series.
 
-Features and target are expected in [0, 1], as ``minmax_scale`` leaves them, and without NULLs.
+Features and target are expected in [0, 1], as ``minmax_scale`` leaves them. A feature that is NULL throughout a series (a long
+average of a short one) is no candidate there; rows with another NULL take no part, and the result says how many rows did.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ BINS = 10
 
 
 def _bin(value: Column, bins: int) -> Column:
-    return F.greatest(F.least(F.floor(value * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    # greatest and least pass over NULLs, so those need a case of their own
+    return F.when(value.isNotNull(), F.greatest(F.least(F.floor(value * bins), F.lit(bins - 1)), F.lit(0)).cast("int"))
 
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str, key: str = "symbol") -> DataFrame:
@@ -70,7 +72,7 @@ def mutual_information(
 def feature_scores(
     df: DataFrame, features: Sequence[str], target: str, key: str = "symbol", bins: int = BINS
 ) -> DataFrame:
-    """``feature, f_score, mi, place`` per series, best first by mutual information."""
+    """``feature, f_score, mi, place`` per series, best first by mutual information; without features NULL throughout the series."""
     scores = f_scores(df, features, target, key).join(mutual_information(df, features, target, key, bins), [key, "feature"])
     best = Window.partitionBy(key).orderBy(F.round("mi", 9).desc(), "feature")
     return scores.withColumn("place", F.row_number().over(best))
@@ -79,9 +81,14 @@ def feature_scores(
 def _moments(laid: Laid, columns: Sequence[str], folds: int) -> DataFrame:
     """Sums of all products of two columns (a leading 1 included) by series and fold: ``fold, cell, value``.
 
-    Each block multiplies its own rows in its task; one row per block, fold and cell is then summed up.
+    Each block multiplies its own rows in its task; one row per block, fold and cell is then summed up. Columns that are NULL
+    throughout a series are 0 there.
     """
-    own = time_folds(laid.frame.filter(laid.is_own), F.col(ROW), F.col(ROWS), folds)
+    counts = laid.summary([F.count(F.col(n)).alias(f"_count_{n}") for n in columns])
+    series = laid.blocks_all()
+    held = counts.select(laid.key, BLOCK, *[F.sum(f"_count_{n}").over(series).alias(f"_count_{n}") for n in columns])
+    known = laid.join_blocks(held).with_columns({n: F.when(F.col(f"_count_{n}") > 0, F.col(n)).otherwise(0.0) for n in columns})
+    own = time_folds(known.frame.filter(laid.is_own), F.col(ROW), F.col(ROWS), folds)
     frame = own.select(laid.key, BLOCK, "fold", *[F.col(n).cast("double").alias(n) for n in columns])
     schema = T.StructType(
         [
@@ -118,11 +125,12 @@ def _moments(laid: Laid, columns: Sequence[str], folds: int) -> DataFrame:
 def select_features(
     laid: Laid, scores: DataFrame, features: Sequence[str], target: str, folds: int = 5, ridge: float = 1e-9
 ) -> DataFrame:
-    """The best-ranked features up to the number that forecasts best: ``feature, place, size_rmse``.
+    """The best-ranked features up to the number that forecasts best: ``feature, place, size_rmse, rows_used``.
 
     Every prefix of the ranking is fitted by least squares on expanding time folds. All fits need only the sums of
     products per fold, so the data are read once whatever the number of features and folds; the systems solved per
-    series are of the size of the feature list.
+    series are of the size of the feature list. Features that a series does not have are not in its ``scores``. A series too
+    short for any fold selects nothing.
     """
     columns = [*features, target]
     moments = _moments(laid, columns, folds)
@@ -133,14 +141,16 @@ def select_features(
             T.StructField("feature", T.StringType()),
             T.StructField("place", T.IntegerType()),
             T.StructField("size_rmse", T.DoubleType()),
+            T.StructField("rows_used", T.LongType()),
         ]
     )
     key, names, side = laid.key, list(features), len(columns) + 1
 
     def choose(sums: pa.Table, ranked: pa.Table) -> pa.Table:
-        empty = {key: [], "feature": [], "place": [], "size_rmse": []}
+        kinds = [sums.schema.field(key), ("feature", pa.string()), ("place", pa.int32()), ("size_rmse", pa.float64()), ("rows_used", pa.int64())]
+        empty = pa.schema(kinds).empty_table()
         if sums.num_rows == 0 or ranked.num_rows == 0:
-            return pa.table(empty, schema=pa.schema([sums.schema.field(key), ("feature", pa.string()), ("place", pa.int32()), ("size_rmse", pa.float64())]))
+            return empty
         by_fold = np.zeros((folds + 1, side * side))
         by_fold[sums.column("fold").to_numpy(), sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
         by_fold = by_fold.reshape(folds + 1, side, side)
@@ -158,7 +168,9 @@ def select_features(
                 weights = np.linalg.lstsq(system, train[use, -1], rcond=None)[0]
                 squares = test[-1, -1] - 2 * weights @ test[use, -1] + weights @ test[np.ix_(use, use)] @ weights
                 errors.append(np.sqrt(max(squares, 0.0) / test[0, 0]))
-            rmse.append(float(np.mean(errors)) if errors else np.inf)
+            if not errors:
+                return empty
+            rmse.append(float(np.mean(errors)))
         best = int(np.argmin(rmse)) + 1
         series = sums.column(key)[0].as_py()
         return pa.table(
@@ -167,6 +179,7 @@ def select_features(
                 "feature": order[:best],
                 "place": pa.array(range(1, best + 1), pa.int32()),
                 "size_rmse": pa.array(rmse[:best], pa.float64()),
+                "rows_used": pa.array([int(by_fold[:, 0, 0].sum())] * best, pa.int64()),
             }
         )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.text import CLASSES
-from tidegrid.operators import fill, forecast, indicators, metrics, scaling, selection, sequences
+from tidegrid.operators import fill, forecast, indicators, metrics, scaling, selection, sequences, window_model
 from tidegrid.operators.asof import asof_join
 from tidegrid.operators.series import ROW, ROWS, Laid, cut, lay_out
 from tidegrid.schemas import BAR_VALUES
@@ -49,6 +49,12 @@ def combined_features(
 class Forecast:
     scaled: DataFrame
     compared: DataFrame
+    rounds: tuple[tuple[int, float, float, bool], ...] = ()
+
+    def loss_history(self) -> DataFrame:
+        """``round, train_loss, validation_loss, kept`` of a model trained by rounds; empty for others."""
+        schema = "round int, train_loss double, validation_loss double, kept boolean"
+        return self.scaled.sparkSession.createDataFrame(list(self.rounds), schema)
 
     def metrics(self) -> DataFrame:
         return metrics.regression_metrics(self.compared)
@@ -64,12 +70,26 @@ def forecast_close(bars: DataFrame, features: Sequence[str], method: str = "line
 
 
 def forecast_laid(scaled: Laid, features: Sequence[str], fitted: DataFrame, method: str = "linear") -> Forecast:
-    made = sequences.sequences(scaled, features).numbered().select(scaled.key, scaled.time, ROW, ROWS, "x", "y")
-    row, total = sequences.sequence_position()
-    vectors = forecast.flat_vectors(sequences.validation_split(made, row, total)).drop(ROW, ROWS)
-    model = forecast.fit_forecast(vectors, method)
-    predicted = forecast.predict(model, vectors).select(scaled.key, scaled.time, "y", "predicted")
-    return Forecast(predicted, forecast.comparison(predicted, fitted))
+    """``linear``: ridge regression; ``descent``: the same model by rounds with early stopping; both from sums of products, without
+    writing the sequences out. ``boosted``: trees on the sequences, stopped early by the validation rows."""
+    if method == "boosted":
+        made = sequences.sequences(scaled, features).numbered().select(scaled.key, scaled.time, ROW, ROWS, "x", "y")
+        row, total = sequences.sequence_position()
+        vectors = forecast.flat_vectors(sequences.validation_split(made, row, total)).drop(ROW, ROWS)
+        model = forecast.fit_forecast(vectors, method)
+        predicted = forecast.predict(model, vectors).select(scaled.key, scaled.time, "y", "predicted")
+        return Forecast(predicted, forecast.comparison(predicted, fitted, key=scaled.key, time=scaled.time))
+    if method not in ("linear", "descent"):
+        raise ValueError(f"unknown method {method!r}")
+    moments = window_model.WindowMoments.of(scaled, features)
+    rounds: tuple[tuple[int, float, float, bool], ...] = ()
+    if method == "linear":
+        weights = window_model.least_squares(moments)
+    else:
+        found = window_model.descend(moments)
+        weights, rounds = found.weights, tuple(found.history())
+    predicted = window_model.predict_windows(scaled, features, weights)
+    return Forecast(predicted, forecast.comparison(predicted, fitted, key=scaled.key, time=scaled.time), rounds)
 
 
 def train_and_compare(

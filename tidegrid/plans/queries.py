@@ -555,9 +555,9 @@ def feature_union(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(joined.select("symbol", "t", *selection.feature_union(["close", "v"], text.CLASSES)))
 
 
-def _trained(spark: SparkSession, folder: str) -> jobs.Forecast:
+def _trained(spark: SparkSession, folder: str, method: str = "linear") -> jobs.Forecast:
     bars = cut_lineage(market.bars(spark, folder))
-    return jobs.train_and_compare(bars, _sentiment(spark, folder), TOLERANCE_SECONDS)
+    return jobs.train_and_compare(bars, _sentiment(spark, folder), TOLERANCE_SECONDS, method)
 
 
 @register
@@ -580,6 +580,12 @@ def train_and_compare(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_trained(spark, folder).metrics())
 
 
+@register
+def loss_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Train and validation loss by round of the whole job trained with early stopping, and the round whose weights are kept."""
+    return rounded(_trained(spark, folder, "descent").loss_history())
+
+
 @register
 def combined_features(spark: SparkSession, folder: str) -> DataFrame:
     """The training table: scaled and filled features with the nearest article's scores."""
