@@ -93,5 +93,5 @@ def test_split_factors_multiply(spark):
         [("A", days[1].date(), 2.0), ("A", days[3].date(), 3.0), ("B", days[3].date(), 5.0)],
         "symbol string, effective_date date, ratio double",
     )
-    rows = split_adjust(bars, splits, bucket_seconds=86400).orderBy("t").collect()
+    rows = split_adjust(bars, splits).orderBy("t").collect()
     assert [(r["close"], r["v"]) for r in rows] == [(10.0, 6.0), (20.0, 3.0), (20.0, 3.0), (60.0, 1.0)]

@@ -302,13 +302,60 @@ def test_stream_counts_a_repeated_article_once(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    scored = live_jobs.stream_sentiment(stream, lexicon, "1 hour").select("symbol", F.col("_minute.start").alias("t"), "articles", "positive")
-    live_jobs.upsert_batches(scored, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    row = live_jobs.latest_rows(spark, str(tmp_path / "out"), ["symbol", "t"]).first()
+    live_jobs.follow_sentiment(stream, lexicon, str(tmp_path / "out"), str(tmp_path / "log"), "1 hour").awaitTermination()
+    row = live_jobs.minute_means(spark, str(tmp_path / "out")).first()
     chance = math.e / (math.e + 2)
     assert row["articles"] == 2 and row["positive"] == pytest.approx((chance + 1 / 3) / 2)
 
 
+def test_stream_scores_with_a_lexicon_of_any_size(spark, tmp_path):
+    words = spark.range(50_000).selectExpr("concat('w', id) AS word", "element_at(array('positive', 'negative', 'neutral'), cast(id % 3 AS int) + 1) AS class", "1.0 + id % 7 AS weight")
+    rng = random.Random(2)
+    rows = [(k, rng.choice("AB"), MINUTE + timedelta(seconds=rng.randint(0, 300)), f"w{rng.randrange(60_000)} x", f"<p>w{rng.randrange(60_000)}</p>") for k in range(200)]
+    rows += [(900, "A", MINUTE, None, None)]
+    df = spark.createDataFrame(rows, "article_id bigint, symbol string, created_at timestamp, headline string, content string")
+    for part in range(4):
+        df.filter(F.col("article_id") % 4 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live_jobs.follow_sentiment(stream, words, str(tmp_path / "out"), str(tmp_path / "log"), "1 hour").awaitTermination()
+    found = live_jobs.minute_means(spark, str(tmp_path / "out")).toPandas().sort_values(["symbol", "t"])
+    sums = live_jobs.minute_sums(df, words).toPandas().sort_values(["symbol", "t"])
+    assert found["articles"].tolist() == sums["articles"].tolist() and found["articles"].sum() == 201
+    assert found["negative"].tolist() == pytest.approx((sums["negative"] / sums["articles"]).tolist())
+
+
+def _streamed(spark, rows, folder, files, **kept):
+    df = frame(spark, rows)
+    order = list(range(files))
+    random.Random(files).shuffle(order)
+    for part in order:
+        df.filter(F.pmod(F.xxhash64("symbol", "t"), F.lit(files)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live.follow_indicators(stream, f"{folder}/out", f"{folder}/log", **kept)
+    shown = live.shown_indicators(spark, f"{folder}/out").orderBy("symbol", "t").collect()
+    return [r.asDict() for r in shown], live.late_bars(spark, f"{folder}/out").collect()
+
+
+def test_online_indicators_of_ten_files_in_any_order_equal_the_loops(spark, tmp_path):
+    rows = plain.walk("A", 150) + plain.walk("B", 40, 2)
+    shown, late = _streamed(spark, rows, str(tmp_path), 10, bucket_seconds=1800)
+    assert late == [] and len(shown) == len(rows)
+    for symbol in "AB":
+        own, got = [r for r in rows if r["symbol"] == symbol], [r for r in shown if r["symbol"] == symbol]
+        close = [r["close"] for r in own]
+        plain.assert_column(got, "EMA20", plain.ema(close))
+        plain.assert_column(got, "RSI", plain.rsi(close))
+        plain.assert_column(got, "PSAR", plain.psar([r["high"] for r in own], [r["low"] for r in own]))
+
+
+def test_bars_behind_the_kept_buckets_come_out_late(spark, tmp_path):
+    rows = plain.walk("A", 120)
+    shown, late = _streamed(spark, rows, str(tmp_path), 5, bucket_seconds=600, kept_buckets=2)
+    assert late and len(shown) + len(late) == len(rows)
+    assert {r["t"] for r in shown} | {r["t"] for r in late} == {r["t"] for r in rows}
+    assert not {r["t"] for r in shown} & {r["t"] for r in late}
+
+
 def test_online_state_equals_the_loops():
     rows = plain.walk("A", 200)
     state = dict.fromkeys(live.RUNNING.names, 0.0) | {"bars": 0}

@@ -75,10 +75,9 @@ def test_repeated_words_and_articles_of_two_symbols(spark):
     lexicon = lexicon_of(spark, [("good", "positive", 1.0), ("good", "positive", 0.5), ("bad", "negative", 1.0), (None, "negative", 9.0)])
     rows = [(1, "A", "good good bad"), (1, "B", "good good bad"), (2, "A", ""), (3, "A", None), (4, "A", "good"), (4, "A", "good")]
     articles = spark.createDataFrame(rows, "article_id long, symbol string, content string")
-    for score in (sentiment.lexicon_scores, sentiment.stream_scores):
-        found = score(articles, lexicon, tokens("content"), ["symbol"]).collect()
-        got = sorted((r["article_id"], r["symbol"], r["score_positive"], r["score_negative"]) for r in found)
-        assert got == [(1, "A", 3.0, 1.0), (1, "B", 3.0, 1.0), (2, "A", 0, 0), (3, "A", 0, 0), (4, "A", 1.5, 0), (4, "A", 1.5, 0)]
+    found = sentiment.lexicon_scores(articles, lexicon, tokens("content"), ["symbol"]).collect()
+    got = sorted((r["article_id"], r["symbol"], r["score_positive"], r["score_negative"]) for r in found)
+    assert got == [(1, "A", 3.0, 1.0), (1, "B", 3.0, 1.0), (2, "A", 0, 0), (3, "A", 0, 0), (4, "A", 1.5, 0), (4, "A", 1.5, 0)]
 
 
 def test_many_distinct_weights(spark):
@@ -86,10 +85,6 @@ def test_many_distinct_weights(spark):
     articles = spark.createDataFrame([(1, "w0 w7 w19999")], "article_id long, content string")
     found = sentiment.lexicon_scores(articles, lexicon, tokens("content")).first()
     assert found["score_positive"] == round(3 + (7 + 19999) / 7, 9)
-    few = lexicon.limit(sentiment.STREAM_LEXICON)
-    assert sentiment.stream_scores(articles, few, tokens("content"), []).first()["score_positive"] > 0
-    with pytest.raises(ValueError):
-        sentiment.stream_scores(articles, lexicon, tokens("content"), [])
 
 
 def test_rounding_keeps_what_it_cannot_scale(spark):
@@ -103,3 +98,29 @@ def test_streams_follow_folders(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     ours = jobs.bars_to_table(spark, str(tmp_path)).count()
     assert ours == jobs.bars_to_table(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_ticks_that_are_not_numbers_are_null(spark):
+    from tidegrid.sources import market
+
+    events = spark.createDataFrame([("a", 1, float("nan"), '{"k": "NaN"}'), ("a", 2, 1.5, '{"k": 2}')], "event_type string, event_id long, value double, props string")
+    got = market.event_ticks(events.withColumn("ts", F.current_timestamp())).orderBy("seq").collect()
+    assert [(r["price"], r["size"]) for r in got] == [(None, None), (1.5, 2.0)]
+
+
+def test_splits_on_the_day_of_before_and_after_a_bar(spark):
+    from datetime import date, datetime
+
+    from tidegrid.operators.resample import split_adjust
+
+    rows = [("A", datetime(2024, 1, d), 8.0, 100.0) for d in (1, 2, 3, 4)] + [("B", datetime(2024, 1, 1), 8.0, 100.0), ("C", datetime(2024, 1, 1), None, None)]
+    bars = spark.createDataFrame(rows, "symbol string, t timestamp, close double, v double")
+    for name in ("open", "high", "low", "vw"):
+        bars = bars.withColumn(name, F.col("close"))
+    splits = spark.createDataFrame(
+        [("A", date(2024, 1, 2), 2.0), ("A", date(2024, 1, 4), 4.0), ("A", date(2024, 1, 4), 0.5), ("C", date(2024, 2, 1), 2.0), ("D", date(2024, 1, 1), 3.0), ("B", None, 5.0)],
+        "symbol string, effective_date date, ratio double",
+    )
+    found = {(r["symbol"], r["t"].day): (r["close"], r["v"]) for r in split_adjust(bars, splits).collect()}
+    assert found == {("A", 1): (2.0, 400.0), ("A", 2): (4.0, 200.0), ("A", 3): (4.0, 200.0), ("A", 4): (8.0, 100.0), ("B", 1): (8.0, 100.0), ("C", 1): (None, None)}
+    assert split_adjust(bars, splits.limit(0)).count() == 6 and split_adjust(bars.limit(0), splits).count() == 0

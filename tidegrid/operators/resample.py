@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.times import eastern
-from tidegrid.operators.asof import asof_join
-from tidegrid.operators.series import DEFAULT_BUCKET_SECONDS
 
 
 def _bar_columns(order: Column) -> list[Column]:
@@ -64,24 +62,20 @@ def resample_bars(bars: DataFrame, timeframe: str) -> DataFrame:
     ).withColumnRenamed("_start", "t")
 
 
-def split_adjust(bars: DataFrame, splits: DataFrame, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def split_adjust(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Prices before a split are divided by its ratio, volumes multiplied; several splits multiply up.
 
-    Splits are turned into running products from the latest backwards, and each bar takes the product of the first
-    split after its day: one forward as-of lookup instead of a range join.
+    The splits of a symbol become one row: their days in order, each with the product of its ratio and all later ones. That row is
+    joined by symbol and a bar takes the product of the first day after its own, so the bars are read once and never sorted. Which
+    side is broadcast, and how a hot symbol is dealt, is left to the optimizer. Splits without a symbol or day are left out.
     """
-    later = Window.partitionBy("symbol").orderBy(F.col("effective_date").desc())
-    factors = (
-        splits.groupBy("symbol", "effective_date")
-        .agg(F.product("ratio").alias("_ratio"))
-        .select(
-            "symbol",
-            (F.col("effective_date").cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND")).alias("t"),
-            F.product("_ratio").over(later.rowsBetween(Window.unboundedPreceding, 0)).alias("_factor"),
-            F.lit(0).cast("bigint").alias("_id"),
-        )
-    )
-    joined = asof_join(bars, factors, ["_factor"], direction="forward", tie="_id", bucket_seconds=bucket_seconds)
-    factor = F.coalesce("_factor", F.lit(1.0))
-    prices = {name: F.col(name) / factor for name in ("open", "high", "low", "close", "vw")}
-    return joined.withColumns(prices | {"v": F.col("v") * factor}).drop("_factor")
+    known = splits.filter("symbol IS NOT NULL AND effective_date IS NOT NULL")
+    later = Window.partitionBy("symbol").orderBy(F.col("effective_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    daily = known.groupBy("symbol", "effective_date").agg(F.product("ratio").alias("_ratio"))
+    factors = daily.select("symbol", F.struct("effective_date", F.product("_ratio").over(later).alias("factor")).alias("_split"))
+    listed = factors.groupBy("symbol").agg(F.sort_array(F.collect_list("_split")).alias("_splits"))
+    joined = bars.join(listed, "symbol", "left")
+    after = F.filter("_splits", lambda split: split["effective_date"] > F.to_date("t"))
+    factor = F.coalesce(F.try_element_at(after, F.lit(1))["factor"], F.lit(1.0))
+    prices = {name: F.col(name) / F.col("_factor") for name in ("open", "high", "low", "close", "vw")}
+    return joined.withColumn("_factor", factor).withColumns(prices | {"v": F.col("v") * F.col("_factor")}).select(*bars.columns)

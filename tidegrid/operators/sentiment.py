@@ -23,10 +23,6 @@ from tidegrid.functions.text import (
 from tidegrid.functions.times import floor_minute
 
 
-#: A stream looks words up within its rows: expressions in the size of the lexicon's distinct words and weights.
-STREAM_LEXICON = 1_000
-
-
 def word_weights(lexicon: DataFrame) -> DataFrame:
     """One row per word with its summed weight in every class; a word listed several times counts each of them."""
     sums = [F.sum(F.when(F.col("class") == name, F.col("weight")).otherwise(0.0)).alias(f"_w_{name}") for name in CLASSES]
@@ -61,32 +57,6 @@ def lexicon_scores(
     return _with_chances(named.drop("_words").join(scores, "_name").drop("_name"))
 
 
-def _hits(listed: list[str]) -> Column:
-    return F.size(F.filter("_picked", lambda word: word.isin(listed)))
-
-
-def stream_scores(articles: DataFrame, lexicon: DataFrame, words: Column, keep: Sequence[str], article: str = "article_id") -> DataFrame:
-    """The same scores within the rows, for streams, where an article cannot be summed by a shuffle before its window is.
-
-    The lexicon is read when the stream is built; with more than ``STREAM_LEXICON`` words a ValueError is raised.
-    """
-    rows = word_weights(lexicon).limit(STREAM_LEXICON + 1).collect()
-    if len(rows) > STREAM_LEXICON:
-        raise ValueError(f"a stream scores with at most {STREAM_LEXICON} words")
-    listed = sorted(row["word"] for row in rows)
-    picked = articles.select(article, *keep, F.filter(words, lambda word: word.isin(listed)).alias("_picked"))
-    sums = {}
-    for name in CLASSES:
-        groups: dict[float, list[str]] = {}
-        for row in rows:
-            if row[f"_w_{name}"]:
-                groups.setdefault(row[f"_w_{name}"], []).append(row["word"])
-        parts = [_hits(own) * F.lit(weight) for weight, own in sorted(groups.items())]
-        total = F.aggregate(F.array(*parts), F.lit(0.0), lambda a, b: a + b) if parts else F.lit(0.0)
-        sums[f"score_{name}"] = F.round(F.coalesce(total, F.lit(0.0)), 9)
-    return _with_chances(picked.withColumns(sums).drop("_picked"))
-
-
 def lexicon_label(scored: DataFrame) -> DataFrame:
     """Hard label from the scores, in the order positive, negative, neutral."""
     return scored.withColumn("sentiment", argmax_label([F.col(f"score_{name}") for name in CLASSES]))

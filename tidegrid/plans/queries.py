@@ -199,8 +199,7 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def split_adjust(spark: SparkSession, folder: str) -> DataFrame:
-    bars = cut_lineage(market.wide_bars(spark, folder))
-    return rounded(resample.split_adjust(bars, _splits(spark, folder), bucket_seconds=1024 * 86400))
+    return rounded(resample.split_adjust(market.wide_bars(spark, folder), _splits(spark, folder)))
 
 
 # -- projections, filters, time

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.resample import resample_ticks
@@ -13,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def _number(value: Column) -> Column:
+    """NaN stands for a missing number, as NULL does."""
+    return F.when(~F.isnan(value), value)
+
+
 def event_ticks(events: DataFrame) -> DataFrame:
     """Events as ticks: one symbol per event type, few and long. A table or a stream."""
     size = F.get_json_object("props", "$.k").cast("double")
@@ -20,8 +25,8 @@ def event_ticks(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
-        F.col("value").alias("price"),
-        size.alias("size"),
+        _number(F.col("value")).alias("price"),
+        _number(size).alias("size"),
     )
 
 
@@ -35,8 +40,8 @@ def wide_ticks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
-        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("size"),
+        _number(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).cast("double")).alias("price"),
+        _number(F.col("l_quantity").cast("double")).alias("size"),
     )
 
 

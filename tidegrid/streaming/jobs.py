@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.text import CLASSES, article_tokens, strip_html
 from tidegrid.operators.resample import resample_ticks
-from tidegrid.operators.sentiment import stream_scores
+from tidegrid.operators.sentiment import lexicon_scores
 from tidegrid.session import scratch_path
 from tidegrid.sources.market import document_articles, event_ticks
 
@@ -60,23 +60,47 @@ def bars_to_table(
     return latest_rows(spark, path, ["symbol", "t"])
 
 
-def stream_sentiment(articles: DataFrame, lexicon: DataFrame, delay: str) -> DataFrame:
-    """Per symbol and minute the number of articles and their mean class scores; repeated articles count once.
+def first_articles(articles: DataFrame, delay: str) -> DataFrame:
+    """An article stream in which an article that comes again within ``delay`` counts once."""
+    return articles.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["article_id"])
 
-    The lexicon has to be a small one: a stream scores within its rows, see ``stream_scores``.
-    """
-    once = articles.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["article_id"])
+
+def minute_sums(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``symbol, t, articles`` and the sums of the class scores by symbol and minute; sums of parts add up to those of the whole."""
     words = article_tokens("headline", strip_html("content"))
-    scored = stream_scores(once, lexicon, words, ["symbol", "created_at"])
-    return scored.groupBy("symbol", F.window("created_at", "1 minute").alias("_minute")).agg(
-        F.count("*").alias("articles"), *[F.avg(name).alias(name) for name in CLASSES]
+    scored = lexicon_scores(articles, lexicon, words, ["symbol", "created_at"])
+    minute = F.date_trunc("minute", "created_at").alias("t")
+    return scored.groupBy("symbol", minute).agg(F.count("*").alias("articles"), *[F.sum(name).alias(name) for name in CLASSES])
+
+
+def follow_sentiment(articles: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, delay: str = "30 days"):
+    """Scores the new articles of every batch and writes their sums to a folder of its own; a repeated batch overwrites itself.
+
+    Words are joined with the lexicon as in a batch job, so it may be of any size; Spark decides how.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        minute_sums(batch, lexicon).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        first_articles(articles, delay)
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
     )
 
 
+def minute_means(spark: SparkSession, path: str) -> DataFrame:
+    """Per symbol and minute the number of articles and their mean class scores, over all batches written so far."""
+    written = spark.read.parquet(path).groupBy("symbol", "t")
+    sums = written.agg(*[F.sum(name).alias(name) for name in ("articles", *CLASSES)])
+    return sums.select("symbol", "t", "articles", *[(F.col(name) / F.col("articles")).alias(name) for name in CLASSES])
+
+
 def sentiment_to_table(spark: SparkSession, folder: str, lexicon: DataFrame, delay: str = "30 days") -> DataFrame:
     articles = document_articles(follow_table(spark, folder, "documents"))
-    scored = stream_sentiment(articles, lexicon, delay)
-    flat = scored.select("symbol", F.col("_minute.start").alias("t"), "articles", *CLASSES)
-    path, checkpoint = scratch_path(spark, "stream-news"), scratch_path(spark, "stream-news-log")
-    upsert_batches(flat, path, checkpoint).awaitTermination()
-    return latest_rows(spark, path, ["symbol", "t"])
+    path = scratch_path(spark, "stream-news")
+    follow_sentiment(articles, lexicon, path, scratch_path(spark, "stream-news-log"), delay).awaitTermination()
+    return minute_means(spark, path)
