@@ -9,12 +9,14 @@ from tidegrid.llm import ngram_join, packing, token_lengths, tokens, voronoi
 LONG = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x " + " " * 1_000_000 + "y<|endoftext|> z"]
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 200])
 @pytest.mark.parametrize(
-    "texts",
-    [[], [None], ["one two three four five six"], ["a b c d e f", "g h i j k l"], [None, "", "a b", "a b", "c"]],
-)
-def test_the_join_of_few_documents(spark, texts, partitions):
+    ("partitions", "texts"),
+    [
+        (1, []), (3, [None]), (1, ["one two three four five six"]), (200, ["a b c d e f", "g h i j k l"]),
+        (3, [None, "", "a b", "a b", "c"]),
+    ],
+)
+def test_the_join_of_few_documents(spark, partitions, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
     found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_components(docs).collect()}
     assert found == {k: texts.index(t) if t else k for k, t in enumerate(texts)}
