@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from tidegrid.session import scratch_path
 
 
+#: Public Spark setting and its value here: rows are whole texts, so a batch of the default 10,000 is tens of megabytes, held by
+#: Spark and by its Python worker several times over.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_PER_BATCH = 1_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    if int(spark.conf.get(BATCH_ROWS)) > TEXTS_PER_BATCH:
+        spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
