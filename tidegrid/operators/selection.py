@@ -7,7 +7,7 @@ average of a short one) is no candidate there; rows with another NULL take no pa
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,18 @@ from pyspark.sql import types as T
 
 from tidegrid.operators.sequences import time_folds
 from tidegrid.operators.series import BLOCK, ROW, ROWS, Laid
+from tidegrid.session import cut_lineage
 
 # The functions sent to the executors travel by value, so workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 10
 
+#: Cells per step of the search for the values at which bins begin.
+CELLS = 4096
+#: Bytes of a table of one row per series up to which it is sent to every task.
+MOST_BROADCAST_BYTES = 64 << 20
+
 
 def _bin(value: Column, bins: int) -> Column:
     # greatest and least pass over NULLs, so those need a case of their own
@@ -45,15 +51,108 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str, key: str = "sy
     return df.groupBy(key).agg(*fits).select(key, F.inline(F.array(*rows))).select(key, "feature", score.alias("f_score"))
 
 
+def _beside(df: DataFrame, table: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """Joins a stored table of one row per series, sent to all tasks only if its counted size allows that."""
+    small = table.count() * row_bytes <= MOST_BROADCAST_BYTES
+    return df.join(F.broadcast(table) if small else table, key, "left")
+
+
+def _per_series(table: DataFrame, key: str, features: Sequence[str], value: Column, prefix: str) -> DataFrame:
+    """One row per series with a sorted array ``<prefix><feature>`` per feature, stored."""
+    arrays = [F.array_sort(F.collect_set(F.when(F.col("feature") == n, value))).alias(f"{prefix}{n}") for n in features]
+    return cut_lineage(table.groupBy(key).agg(*arrays))
+
+
+def _with_places(counts: DataFrame, key: str, group: Sequence[str], by: str, start: Column) -> DataFrame:
+    """``below``: values of the series in earlier cells, counted from ``start`` on within the group."""
+    earlier = Window.partitionBy(key, "feature", *group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("below", start + F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+
+
+def _begins(bins: int) -> Column:
+    """Places ``place`` (from 0) at which bins 1, 2, ... of ``n`` sorted values begin, the first ``n % bins`` being one longer."""
+    n, j = F.col("n"), F.sequence(F.lit(1), F.lit(bins - 1))
+    size, longer = F.floor(n / bins).cast("long"), n % bins
+    places = F.transform(j, lambda i: F.struct(i.alias("bin"), (i * size + F.least(i.cast("long"), longer)).alias("place")))
+    return F.filter(places, lambda p: p["place"] < n)
+
+
+def _held(wanted: Column) -> Column:
+    """Those of the wanted places that fall into a cell of ``count`` values after ``below`` others."""
+    return F.filter(wanted, lambda p: (p["place"] >= F.col("below")) & (p["place"] < F.col("below") + F.col("count")))
+
+
+def quantile_edges(df: DataFrame, features: Sequence[str], key: str = "symbol", bins: int = BINS) -> DataFrame:
+    """One row per series with the values at which the bins of every feature begin, as ``ntile`` would cut them.
+
+    ``_edges_<feature>`` is an array of ``bin, value, own``; ``own`` is false if equal values lie before the place, in the
+    bin of the first of them. NULL and NaN take no part. No series is sorted in a task: values are counted in ``CELLS`` equal
+    cells, then those cells that hold a wanted place are counted in ``CELLS`` cells each, and the values in the cells of
+    that size that still hold one are counted one by one, equal ones as one row. Rows are exploded by feature only within
+    their task; what is shuffled are counts. Exact for any values; cells suit values in [0, 1]. ``df`` is read three times, so it
+    should be a stored table.
+    """
+
+    def cell(name: str, level: int) -> Column:
+        top = float(CELLS**level)
+        return F.floor(F.greatest(F.least(F.col(name), F.lit(1.0)), F.lit(0.0)) * top).cast("long")
+
+    def known(name: str) -> Column:
+        return F.col(name).isNotNull() & ~F.isnan(name)
+
+    wide = df.select(key, *[F.col(n).cast("double").alias(n) for n in features])
+
+    def counted(frame: DataFrame, picked: Mapping[str, Column], fields: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+        entries = [
+            F.when(picked[n], F.struct(F.lit(n).alias("feature"), *[c.alias(f) for f, c in fields[n].items()])) for n in features
+        ]
+        long = frame.select(key, F.inline(F.array(*entries))).filter(F.col("feature").isNotNull())
+        return long.groupBy(*long.columns).count()
+
+    coarse = counted(wide, {n: known(n) for n in features}, {n: {"cell": cell(n, 1)} for n in features})
+    whole = Window.partitionBy(key, "feature")
+    placed = _with_places(coarse, key, (), "cell", F.lit(0).cast("long")).withColumn("n", F.sum("count").over(whole))
+    cut = cut_lineage(placed.withColumn("wanted", _held(_begins(bins))).filter(F.size("wanted") > 0))
+    row_bytes = len(features) * bins * 32
+    for level in (1, 2):
+        prefix = f"_cells{level}_"
+        cells = _per_series(cut, key, features, F.col("cell"), prefix)
+        frame = _beside(wide, cells, key, row_bytes)
+        picked = {n: known(n) & F.array_contains(F.col(f"{prefix}{n}"), cell(n, level)) for n in features}
+        finer = {n: cell(n, 2) if level == 1 else F.col(n) for n in features}
+        counts = counted(frame, picked, {n: {"cell": cell(n, level), "finer": finer[n]} for n in features})
+        outer = cut.select(key, "feature", "cell", F.col("below").alias("_start"), "wanted")
+        placed = _with_places(counts.join(outer, [key, "feature", "cell"]), key, ("cell",), "finer", F.col("_start"))
+        held = placed.withColumn("wanted", _held(F.col("wanted"))).filter(F.size("wanted") > 0)
+        cut = cut_lineage(held.select(key, "feature", F.col("finer").alias("cell"), "below", "wanted"))
+    found = cut.select(key, "feature", F.col("cell").alias("value"), "below", F.inline("wanted"))
+    edge = F.struct("bin", "value", (F.col("below") == F.col("place")).alias("own"))
+    return _per_series(found, key, features, edge, "_edges_")
+
+
+def _quantile_bin(name: str) -> Column:
+    value = F.when(~F.isnan(name), F.col(name).cast("double"))
+    reached = F.filter(f"_edges_{name}", lambda e: (value > e["value"]) | (e["own"] & (value == e["value"])))
+    count = F.when(F.col(f"_edges_{name}").isNull(), 0).otherwise(F.size(reached))  # a single value has no edges
+    return F.when(value.isNotNull(), count)
+
+
 def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, key: str = "symbol", bins: int = BINS
+    df: DataFrame, features: Sequence[str], target: str, key: str = "symbol", bins: int = BINS, by: str = "width"
 ) -> DataFrame:
-    """Mutual information of each feature and the target over equal-width bins.
+    """Mutual information of each feature and the target over bins of equal width or, by ``"quantile"``, of equal size.
 
-    All features are counted in one shuffle of at most bins x bins rows per series and feature.
+    Equal values share a bin. All features are counted in one shuffle of at most bins x bins rows per series and feature;
+    for bins of equal size their edges are found first, which runs jobs at call time.
     """
-    cells = [F.struct(F.lit(n).alias("feature"), _bin(F.col(n), bins).alias("bx")) for n in features]
-    long = df.select(key, _bin(F.col(target), bins).alias("by"), F.inline(F.array(*cells)))
+    if by not in ("width", "quantile"):
+        raise ValueError(f"unknown bins {by!r}")
+    if by == "quantile":
+        columns = list(dict.fromkeys([*features, target]))
+        df = _beside(df, quantile_edges(df, columns, key, bins), key, len(columns) * bins * 32)
+    binned = {n: _bin(F.col(n), bins) if by == "width" else _quantile_bin(n) for n in [*features, target]}
+    cells = [F.struct(F.lit(n).alias("feature"), binned[n].alias("bx")) for n in features]
+    long = df.select(key, binned[target].alias("by"), F.inline(F.array(*cells)))
     joint = long.filter(F.col("bx").isNotNull() & F.col("by").isNotNull()).groupBy(key, "feature", "bx", "by").count()
     table = Window.partitionBy(key, "feature")
     counted = joint.select(
@@ -70,10 +169,12 @@ def mutual_information(
 
 
 def feature_scores(
-    df: DataFrame, features: Sequence[str], target: str, key: str = "symbol", bins: int = BINS
+    df: DataFrame, features: Sequence[str], target: str, key: str = "symbol", bins: int = BINS, by: str = "width"
 ) -> DataFrame:
     """``feature, f_score, mi, place`` per series, best first by mutual information; without features NULL throughout the series."""
-    scores = f_scores(df, features, target, key).join(mutual_information(df, features, target, key, bins), [key, "feature"])
+    scores = f_scores(df, features, target, key).join(
+        mutual_information(df, features, target, key, bins, by), [key, "feature"]
+    )
     best = Window.partitionBy(key).orderBy(F.round("mi", 9).desc(), "feature")
     return scores.withColumn("place", F.row_number().over(best))
 

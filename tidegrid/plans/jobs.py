@@ -102,7 +102,7 @@ def train_and_compare(
     table = combined_features(bars, sentiment, tolerance_seconds)
     kept = recut(cut_lineage(table.numbered()), table)
     candidates = [name for name in MODEL_COLUMNS if name != "close"]
-    scores = selection.feature_scores(kept.rows(), candidates, "close")
+    scores = selection.feature_scores(kept.rows(), candidates, "close", by="quantile")
     chosen = selection.select_features(kept, scores, candidates, "close")
     series = chosen.select(kept.key).distinct().count()
     votes = chosen.groupBy("feature").count().filter(F.col("count") * 2 >= series)

@@ -374,15 +374,32 @@ def _filled(columns: Sequence[str]) -> str:
     )
 
 
-def _combined() -> str:
-    """Scaled and filled features with the filled scores of the nearest article."""
+def _combined(then: str | None = None) -> str:
+    """Scaled and filled features with the filled scores of the nearest article; ``then`` reads them as ``done``."""
     columns = [*ORIGINAL, *FEATURES]
+    shown = then or f"\nSELECT symbol, t, {_round([*columns, *CLASSES])} FROM done"
     return f"""WITH {BARS}, {_feature_ctes()}, {SENTIMENT}, {NEAREST},
 scaled AS (SELECT symbol, t, i, {", ".join(_minmax(c) for c in columns)} FROM feat),
 whole AS (SELECT symbol, t, i, {_filled(columns)} FROM scaled),
 matched AS (SELECT w.*, {", ".join(f"near.{c}" for c in CLASSES)} FROM whole w JOIN near USING (symbol, t)),
-done AS (SELECT symbol, t, {", ".join(columns)}, {_filled(CLASSES)} FROM matched)
-SELECT symbol, t, {_round([*columns, *CLASSES])} FROM done"""
+done AS MATERIALIZED (SELECT symbol, t, {", ".join(columns)}, {_filled(CLASSES)} FROM matched){shown}"""
+
+
+def _feature_scores_all() -> str:
+    """Mutual information with the close over ``ntile(10)``; equal values go to the bin of the first of them."""
+    names = [*[c for c in ORIGINAL if c != "close"], *FEATURES, *CLASSES]
+    tiles = "min(tile) OVER (PARTITION BY symbol, feature, x)"
+    values = " UNION ALL ".join(f"SELECT symbol, t, '{n}' AS feature, {_shown(n)} AS x FROM done WHERE {n} IS NOT NULL" for n in [*names, "close"])
+    return _combined(f""",
+vals AS MATERIALIZED ({values}),
+tiles AS (SELECT *, ntile(10) OVER (PARTITION BY symbol, feature ORDER BY x) AS tile FROM vals),
+bins AS MATERIALIZED (SELECT symbol, t, feature, {tiles} AS bin FROM tiles),
+joint AS (SELECT a.symbol, a.feature, a.bin AS bx, y.bin AS bw, count(*) AS c FROM bins a
+  JOIN bins y ON y.feature = 'close' AND a.symbol = y.symbol AND a.t = y.t WHERE a.feature <> 'close' GROUP BY ALL),
+marked AS (SELECT *, sum(c) OVER (PARTITION BY symbol, feature) AS n, sum(c) OVER (PARTITION BY symbol, feature, bx) AS nx,
+  sum(c) OVER (PARTITION BY symbol, feature, bw) AS nw FROM joint),
+mi AS (SELECT symbol, feature, sum(c / n * ln(CAST(c AS DOUBLE) * n / (CAST(nx AS DOUBLE) * nw))) AS mi FROM marked GROUP BY 1, 2)
+SELECT symbol, feature, {_shown('mi')} AS mi, row_number() OVER (PARTITION BY symbol ORDER BY round(mi, 9) DESC, feature) AS place FROM mi""")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -497,6 +514,7 @@ SELECT symbol, t, {_round(["close"])}, CASE WHEN i < floor(train * 0.8) THEN 'tr
     sql["time_folds"] = f"""WITH {BARS}, c AS (SELECT *, rows_all // 6 AS size FROM b)
 SELECT symbol, t, {_round(["close"])}, CAST(CASE WHEN i < rows_all - 5 * size THEN 0 ELSE (i - (rows_all - 5 * size)) // size + 1 END AS INTEGER) AS fold FROM c"""
     sql["feature_scores"] = _feature_scores()
+    sql["feature_scores_all"] = _feature_scores_all()
     online = {n: INDICATORS[n] for n in ("ema", "rsi", "psar")}
     parts = ", ".join(
         f"{n}_part AS MATERIALIZED (WITH RECURSIVE {ctes} SELECT symbol AS {n}_s, t AS {n}_t, {select} FROM f)" for n, (ctes, select, _) in online.items()

@@ -534,15 +534,17 @@ def _training_table(spark: SparkSession, folder: str) -> Laid:
 
 @register
 def feature_scores_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of every candidate of the training table; ``feature_scores`` is the part that has a SQL twin."""
-    return rounded(selection.feature_scores(_training_table(spark, folder).rows(), CANDIDATES, "close"), digits=4)
+    """Every candidate of the training table in bins of equal size, ranked on six digits: ranks must not hang on the last bit."""
+    table = rounded(_training_table(spark, folder).rows())
+    scores = selection.feature_scores(table, CANDIDATES, "close", by="quantile")
+    return rounded(scores.select("symbol", "feature", "mi", "place"))
 
 
 @register
 def select_features(spark: SparkSession, folder: str) -> DataFrame:
     """Selection from all candidates of the training table."""
     table = _training_table(spark, folder)
-    scores = selection.feature_scores(table.rows(), CANDIDATES, "close")
+    scores = selection.feature_scores(table.rows(), CANDIDATES, "close", by="quantile")
     return rounded(selection.select_features(table, scores, CANDIDATES, "close"))
 
 
