@@ -426,6 +426,10 @@ adjusted AS (SELECT w.symbol, w.t, open / coalesce(f, 1) AS open, high / coalesc
 {_bar_select("adjusted")}"""
     sql["scan_news"] = f"""WITH {ARTICLES} SELECT article_id, upper(symbol) AS symbol, created_at, headline, content FROM articles
 WHERE created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND length(content) > 0 ORDER BY created_at DESC"""
+    place = "(row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC, article_id DESC) - 1)"
+    for name in ("paged_news", "stream_paged_news"):
+        sql[name] = f"""WITH {ARTICLES} SELECT article_id, upper(symbol) AS symbol, created_at, headline, content, {place} // 50 AS page,
+  CAST({place} % 50 AS INTEGER) AS place FROM articles"""
     eastern = "CAST((moment AT TIME ZONE 'UTC') AT TIME ZONE 'US/Eastern' AS TIMESTAMP)"
     sql["time_to_eastern"] = f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS moment FROM lineitem),
 e AS (SELECT *, {eastern} AS eastern FROM x)

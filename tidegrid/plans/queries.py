@@ -30,9 +30,10 @@ from tidegrid.plans import jobs
 from tidegrid.plans.lexicon import lexicon
 from tidegrid.session import cut_lineage, scratch_path
 from tidegrid.sources import bars as bar_source
-from tidegrid.sources import market, news
+from tidegrid.sources import market, news, paging
 from tidegrid.streaming import indicators as live_indicators
 from tidegrid.streaming import jobs as live_jobs
+from tidegrid.streaming import paging as live_paging
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,6 +227,14 @@ def floor_minute(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ticks.select(F.col("seq").alias("event_id"), times.upper_symbol("symbol").alias("symbol"), times.floor_minute("ts").alias("minute")))
 
 
+@register
+def paged_news(spark: SparkSession, folder: str) -> DataFrame:
+    """News landed as chains of pages over many files, read back with the places of page and article."""
+    path = scratch_path(market.prepare(spark), "news-chain")
+    paging.write_news_chain(market.articles(spark, folder), path, files=16)
+    return rounded(paging.read_news_chain(spark, path))
+
+
 @register
 def news_with_content(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose text is left after cleaning."""
@@ -629,3 +638,9 @@ def stream_news_sentiment(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def stream_online_indicators(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(live_indicators.indicators_to_table(market.prepare(spark), folder))
+
+
+@register
+def stream_paged_news(spark: SparkSession, folder: str) -> DataFrame:
+    """The chains of ``paged_news`` followed in three batches of files."""
+    return rounded(live_paging.chain_to_table(market.prepare(spark), market.articles(spark, folder)))
