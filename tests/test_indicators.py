@@ -59,6 +59,28 @@ def test_recursions_equal_loops_across_blocks(features, rows):
     plain.assert_column(features, "OBV", plain.obv(close, volume))
 
 
+@pytest.mark.parametrize("block", [512, 8192])
+def test_long_periods_equal_loops(spark, rows, block):
+    """Averages whose past spans many blocks, beside a series too short for them and one with missing prices."""
+    gaps = [r if i % 50 else r | {"close": None} for i, r in enumerate(plain.walk("C", 1500, seed=3))]
+    laid = lay_out(frame(spark, rows + plain.walk("B", 300, seed=2) + gaps), bucket_seconds=36000, block=block)
+    high, low, close = ([r[n] for r in rows] for n in ("high", "low", "close"))
+    for period in (100, 700, 2500):
+        got = collected(indicators.ema(laid, period))
+        plain.assert_column([r for r in got if r["symbol"] == "A"], f"EMA{period}", plain.ema(close, period))
+        short = [r for r in got if r["symbol"] == "B"]
+        plain.assert_column(short, f"EMA{period}", plain.ema([r["close"] for r in short], period))
+    plain.assert_column(collected(indicators.rsi(laid, 600), "A"), "RSI", plain.rsi(close, 600))
+    plain.assert_column(collected(indicators.atr(laid, 600), "A"), "ATR", plain.atr(high, low, close, 600))
+    known = [r["close"] for r in gaps[:300] if r["close"] is not None]
+    value, weight, wanted = plain.mean(known), 2 / 301, [None] * 299
+    wanted.append(value)
+    for r in gaps[300:]:
+        value = (1 - weight) * value + (0.0 if r["close"] is None else weight * r["close"])
+        wanted.append(value)
+    plain.assert_column(collected(indicators.ema(laid, 300), "C"), "EMA300", wanted)
+
+
 def test_windows_equal_loops_across_blocks(features, rows):
     high, low, close = ([r[n] for r in rows] for n in ("high", "low", "close"))
     for period in (20, 50, 200):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.psar import parabolic_sar
-from tidegrid.operators.recursion import Scan, run_scans
+from tidegrid.operators.recursion import Scan, Start, run_scans
 from tidegrid.operators.series import BLOCK, ROW, Laid
 
 # Below these the denominator counts as zero.
@@ -66,10 +66,13 @@ def _seed(laid: Laid, value: Column, first: int, count: int) -> Column:
     return F.try_divide(F.sum(chosen).over(laid.running), F.count(chosen).over(laid.running))
 
 
-def _seeded(seed_row: int, seed: Column, weight: float, value: Column) -> Scan:
-    """Exponential average of ``value`` that starts from ``seed`` at ``seed_row``."""
+def _seeded(seed_row: int, seed: Column, weight: float, value: Column, count: int | None = None) -> Scan:
+    """Exponential average of ``value`` that starts from ``seed`` at ``seed_row``.
+
+    If ``seed`` is the mean of the ``count`` rows up to that one and no window reads the average, any weight will do.
+    """
     inflow = F.when(F.col(ROW) == seed_row, seed).when(F.col(ROW) > seed_row, value * weight).otherwise(0.0)
-    return Scan(1 - weight, inflow)
+    return Scan(1 - weight, inflow, count and Start(value, seed_row - count + 1, count, weight))
 
 
 def sma_recipe(laid: Laid, periods: Sequence[int] = (20, 50, 200)) -> Recipe:
@@ -94,7 +97,7 @@ def ema_recipe(laid: Laid, period: int = 20) -> Recipe:
         (f"EMA{period}",),
         {
             LOOK: {f"_seed{period}": _seed(laid, F.col("close"), 0, period)},
-            SCAN: {name: _seeded(period - 1, F.col(f"_seed{period}"), 2 / (period + 1), F.col("close"))},
+            SCAN: {name: _seeded(period - 1, F.col(f"_seed{period}"), 2 / (period + 1), F.col("close"), period)},
             AFTER: {f"EMA{period}": _from_row(period - 1, F.col(name))},
         },
     )
@@ -129,8 +132,8 @@ def rsi_recipe(laid: Laid, period: int = 14) -> Recipe:
                 "_loss_seed": _seed(laid, F.col("_loss"), 1, period),
             },
             SCAN: {
-                "_avg_gain": _seeded(period, F.col("_gain_seed"), 1 / period, F.col("_gain")),
-                "_avg_loss": _seeded(period, F.col("_loss_seed"), 1 / period, F.col("_loss")),
+                "_avg_gain": _seeded(period, F.col("_gain_seed"), 1 / period, F.col("_gain"), period),
+                "_avg_loss": _seeded(period, F.col("_loss_seed"), 1 / period, F.col("_loss"), period),
             },
             AFTER: {"RSI": _from_row(period, ratio)},
         },
@@ -212,7 +215,7 @@ def atr_recipe(laid: Laid, period: int = 14) -> Recipe:
             LOOK: {"_close_1": _lag(laid, "close", 1)},
             DERIVE: {"_true_range": F.when(F.col(ROW) > 0, true_range)},
             MIX: {"_range_seed": _seed(laid, F.col("_true_range"), 1, period)},
-            SCAN: {"_atr": _seeded(period, F.col("_range_seed"), 1 / period, F.col("_true_range"))},
+            SCAN: {"_atr": _seeded(period, F.col("_range_seed"), 1 / period, F.col("_true_range"), period)},
             AFTER: {"ATR": _from_row(period, F.col("_atr"))},
         },
     )

@@ -120,6 +120,29 @@ TYPICAL = "((high + low + close) / 3)"
 INDICATORS: dict[str, tuple[str, str, list[str]]] = {}
 
 
+def _ema_twin(period: int) -> tuple[str, str, list[str]]:
+    return (
+        f"""e0 AS MATERIALIZED (SELECT *, {_roll("avg", "close", period)} AS seed FROM b),
+{_average("smooth", "e0", "close", "seed", period - 1, 2 / (period + 1))},
+f AS (SELECT b.*, y FROM b LEFT JOIN smooth USING (symbol, i))""",
+        f"y AS EMA{period}",
+        [f"EMA{period}"],
+    )
+
+
+def _rsi_twin(period: int) -> tuple[str, str, list[str]]:
+    return (
+        f"""d0 AS (SELECT *, close - {_lag("close")} AS d FROM b),
+d1 AS (SELECT *, CASE WHEN i > 0 THEN greatest(d, 0) END AS g, CASE WHEN i > 0 THEN greatest(-d, 0) END AS l FROM d0),
+d2 AS MATERIALIZED (SELECT *, {_roll("avg", "g", period)} AS gm, {_roll("avg", "l", period)} AS lm FROM d1),
+{_average("gains", "d2", "g", "gm", period, 1 / period)},
+{_average("losses", "d2", "l", "lm", period, 1 / period)},
+f AS (SELECT b.*, gains.y AS g, losses.y AS l FROM b LEFT JOIN gains USING (symbol, i) LEFT JOIN losses USING (symbol, i))""",
+        "CASE WHEN g + l < 1e-8 THEN 0 ELSE 100 * g / (g + l) END AS RSI",
+        ["RSI"],
+    )
+
+
 def _define_indicators() -> None:
     def simple(name: str, outputs: dict[str, str], inner: str = "") -> None:
         ctes = f"f AS (SELECT *{', ' + inner if inner else ''} FROM b)"
@@ -404,6 +427,8 @@ SELECT symbol, feature, {_shown('mi')} AS mi, row_number() OVER (PARTITION BY sy
 
 def oracle_sql() -> dict[str, str]:
     sql = {name: _indicator(ctes, select, outputs) for name, (ctes, select, outputs) in INDICATORS.items()}
+    sql["ema_long"] = _indicator(*_ema_twin(200))
+    sql["rsi_long"] = _indicator(*_rsi_twin(100))
     sql["features_all"] = _features_all()
     sql["features_wide"] = _features_all(WIDE_BARS, digits=3)
     sql["combined_features"] = _combined()

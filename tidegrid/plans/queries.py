@@ -132,6 +132,13 @@ QUERIES |= {
 BLOCK_TWINS = {name: name.removesuffix("_blocks") for name in QUERIES if name.endswith("_blocks")}
 
 
+# Averages that reach back beyond the copied rows of a block
+QUERIES |= {
+    "ema_long": _in_blocks(lambda laid: indicators.ema(laid, 200), ["EMA200"]),
+    "rsi_long": _in_blocks(lambda laid: indicators.rsi(laid, 100), ["RSI"]),
+}
+
+
 @register
 def pivot_points(spark: SparkSession, folder: str) -> DataFrame:
     shown = ["PP", "R1", "S1", "R2", "S2", "R3", "S3"]
