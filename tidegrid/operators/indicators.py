@@ -30,6 +30,7 @@ LONG_WINDOW = 32
 # A result is finished in the earliest phase that can, so that its inputs are pruned from the later passes.
 LOOK, DERIVE, MIX, SCAN, AFTER, SCAN_AGAIN, OUTPUT = range(7)
 
+# Names of the output columns.
 FEATURES = [
     "MA20", "MA50", "MA200", "RSI", "MACD", "Signal", "UpperBB", "MiddleBB", "LowerBB", "OBV", "SlowK", "SlowD",
     "ATR", "MFI", "Tenkan", "Kijun", "SenkouA", "SenkouB", "Chikou", "PP", "ROC", "CMF", "CCI", "PSAR", "EMA20",
