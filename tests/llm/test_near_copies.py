@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,25 @@ def test_components_of_chains_stars_and_noise(spark):
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
 
 
-@pytest.mark.parametrize("size,percent", [(0, 75), (5, 0), (5, 101)])
-def test_parameters_are_checked(spark, size, percent):
+@pytest.mark.parametrize("passes", [2, 5])
+def test_passes_over_the_columns_give_the_same(spark, passes):
+    rows = corpus(8)
+    table = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    join = ngram_join.NgramJaccardJoin(table, passes=passes)
+    assert sorted(map(tuple, join.classes().collect())) == plain_components(rows)
+
+
+def test_what_the_result_does_not_read_is_deleted(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    table = spark.createDataFrame([(doc, text, "de") for doc, text in corpus()], "doc_id long, text string, lang string")
+    kept = ngram_join.one_row_of_each_component(table)
+    labels = {path.name.split("-")[1] for path in set(folder.iterdir()) - before if path.name.startswith("tidegrid")}
+    assert labels == {"numbered", "dropped", "links", "edges"}
+    assert kept.count() == len({(row[2], row[0] if not row[1] else None) for row in plain_components(corpus())})
+
+
+@pytest.mark.parametrize("size,percent,passes", [(0, 75, 1), (5, 0, 1), (5, 101, 1), (5, 75, 0)])
+def test_parameters_are_checked(spark, size, percent, passes):
     with pytest.raises(ValueError):
-        ngram_join.NgramJaccardJoin(spark.createDataFrame([], "id long, text string"), size, percent)
+        ngram_join.NgramJaccardJoin(spark.createDataFrame([], "id long, text string"), size, percent, passes)

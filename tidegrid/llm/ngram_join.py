@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import components
-from tidegrid.llm.tables import batch_of, only, stored, unused
+from tidegrid.llm.tables import Scratch, batch_of, only, stored, unused
 from tidegrid.llm.words import SPACE, Splitter, shingle_sets
 
 #: Counters of the frequency sketch, fixed at every size of input (2**23 counters, 8 MB once they are levels).
@@ -147,7 +148,9 @@ def _ceil_share(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _prefix(size: int, percent: int, levels):
+def _prefix(size: int, percent: int, levels, passes: int, turn: int):
+    """The entries of the prefixes whose columns belong to this turn of so many passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(levels.value, dtype=np.uint8)
         seen: set[int] = set()
@@ -161,11 +164,13 @@ def _prefix(size: int, percent: int, levels):
                 seen.add(node)
                 length = n - _ceil_share(n, percent) + 1
                 level = order[(found & _MASK).astype(np.int64)]
-                grams.append(found[np.argsort(level, kind="stable")[:length]])
-                nodes.append(np.full(length, node, dtype=np.int64))
-                sizes.append(np.full(length, n, dtype=np.int32))
-                places.append(np.arange(length, dtype=np.int32))
-                held += length
+                prefix = found[np.argsort(level, kind="stable")[:length]]
+                place = np.flatnonzero((prefix >> np.uint64(40)) % np.uint64(passes) == turn).astype(np.int32)
+                grams.append(prefix[place])
+                nodes.append(np.full(len(place), node, dtype=np.int64))
+                sizes.append(np.full(len(place), n, dtype=np.int32))
+                places.append(place)
+                held += len(place)
                 if held > 1 << 16:
                     yield _entries(grams, nodes, sizes, places)
                     grams, nodes, sizes, places = [], [], [], []
@@ -358,52 +363,63 @@ def _whole_sets(size: int):
 
 
 class NgramJaccardJoin:
-    """The join over ``id, text`` rows. ``percent``: the least similarity, in hundredths; ``size``: words per n-gram."""
+    """The join over ``id, text`` rows. ``percent``: the least similarity, in hundredths; ``size``: words per n-gram.
+
+    ``passes``: the columns are shuffled in so many parts, one after the other, each of which reads the texts again; the disk that
+    the shuffle needs shrinks by as much. The result is the same.
+    """
 
-    def __init__(self, documents: DataFrame, size: int = 5, percent: int = 75):
-        if size < 1 or not 1 <= percent <= 100:
-            raise ValueError("size is at least 1, percent from 1 to 100")
-        self.size, self.percent = size, percent
+    def __init__(self, documents: DataFrame, size: int = 5, percent: int = 75, passes: int = 1):
+        if size < 1 or not 1 <= percent <= 100 or passes < 1:
+            raise ValueError("size and passes are at least 1, percent from 1 to 100")
+        self.size, self.percent, self.passes = size, percent, passes
         self.documents = documents
         self.spark = documents.sparkSession
-        self.profile = stored(documents.mapInArrow(_profile(size), PROFILE), "profile")
+        self.scratch = Scratch(self.spark)
+        self.profile = self.scratch.stored(documents.mapInArrow(_profile(size), PROFILE), "profile")
         self.rows = self.profile.filter("part IS NULL")
         self.holders = self.rows.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
 
-    def lists(self) -> DataFrame:
+    def lists(self, scratch: Scratch) -> DataFrame:
         """The incidence entries of columns that occur in the prefixes of several sets."""
         levels = self.spark.sparkContext.broadcast(_levels(self.profile))
         named = self.documents.filter("id IS NOT NULL")
-        entries = named.mapInArrow(_prefix(self.size, self.percent, levels), ENTRY).repartition("gram")
-        lists = stored(entries.mapInArrow(_column_block(self.percent), LISTED), "lists")
+        parts = []
+        for turn in range(self.passes):
+            prefix = _prefix(self.size, self.percent, levels, self.passes, turn)
+            entries = named.mapInArrow(prefix, ENTRY).repartition("gram")
+            parts.append(scratch.stored(entries.mapInArrow(_column_block(self.percent), LISTED), "lists"))
         levels.destroy()
-        return lists
+        return reduce(DataFrame.union, parts)
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """``hub, node`` pairs -> the pairs ``a, b`` that reach the threshold, by exact counts over the whole sets."""
-        pairs = stored(pairs, f"pairs-{label}")
+        scratch = Scratch(self.spark)
+        pairs = scratch.stored(pairs, f"pairs-{label}")
         both = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-        wanted = self.holders.join(both, "node").select("id", "node")
-        wanted = stored(wanted, f"wanted-{label}")
+        wanted = scratch.stored(self.holders.join(both, "node").select("id", "node"), f"wanted-{label}")
         few = wanted.count() <= BROADCAST_SETS
         texts = self.documents.join(F.broadcast(wanted) if few else wanted, "id")
         sets = texts.mapInArrow(_whole_sets(self.size), "node long, grams binary").dropDuplicates(["node"])
-        sets = stored(sets, f"sets-{label}")
         sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts"))
         salted = pairs.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-        members = salted.join(sets, "node").select("hub", "salt", "node", F.lit(1).alias("role"), "grams")
-        heads = salted.select("hub", "salt").distinct().withColumnRenamed("hub", "node").join(sets, "node")
-        heads = heads.select(F.col("node").alias("hub"), "salt", "node", F.lit(0).alias("role"), "grams")
-        grouped = members.union(heads).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-        return stored(grouped.mapInArrow(_count_overlaps(self.percent), "a long, b long"), f"links-{label}")
-
-    def hub_pairs(self, lists: DataFrame) -> DataFrame:
+        members = salted.select("hub", "salt", "node", F.lit(1).alias("role"))
+        heads = salted.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("node"), F.lit(0).alias("role"))
+        # members and heads ask for their sets in one join, by which the sets are already dealt
+        asked = scratch.stored(members.union(heads), f"asked-{label}")
+        grouped = sets.join(asked, "node").select("hub", "salt", "node", "role", "grams")
+        grouped = grouped.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+        links = stored(grouped.mapInArrow(_count_overlaps(self.percent), "a long, b long"), f"links-{label}")
+        scratch.clear()
+        return links
+
+    def hub_pairs(self, lists: DataFrame, scratch: Scratch) -> DataFrame:
         """Every set of a list with the list's hub, once, if sizes and counts allow a link.
 
         What two sets share is at most the fewer lists of either and the longer suffix behind the prefixes.
         """
         of_pair = lists.filter("hub <> node").select("hub", "node").distinct()
-        of_node = stored(lists.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("lists")), "nodes")
+        of_node = scratch.stored(lists.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("lists")), "nodes")
         hubs = of_node.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("lists").alias("hub_lists"))
         pairs = of_pair.join(of_node, "node").join(hubs, "hub")
         share = self.percent
@@ -412,18 +428,18 @@ class NgramJaccardJoin:
         needed = f"ceil({share} * (n + hub_n) / {100 + share})"
         return pairs.filter(fit).filter(f"least(lists, hub_lists) + {suffix} >= {needed}").select("hub", "node")
 
-    def cross_pairs(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+    def cross_pairs(self, lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
         """Pairs of sets of different components that share a column and that the counts do not rule out.
 
         A list of two sets has no pair without its hub, so only longer lists are looked at.
         """
         lists_of = lists.groupBy("node").agg(F.count("*").alias("lists"))
         about = lists_of.join(roots, "node", "left").select("node", "lists", F.coalesce("root", "node").alias("root"))
-        listed = stored(lists.filter("members > 2").join(about, "node"), "rooted")
+        listed = scratch.stored(lists.filter("members > 2").join(about, "node"), "rooted")
         shares = listed.groupBy("hub", "gram", "root").agg(F.count("*").alias("k"))
         main = shares.groupBy("hub", "gram").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots"))
         mixed = main.filter("roots > 1").select("hub", "gram", F.col("m.root").alias("main"))
-        rows = stored(listed.join(mixed, ["hub", "gram"]).withColumn("stray", F.expr("root <> main")).drop("main"), "mixed")
+        rows = scratch.stored(listed.join(mixed, ["hub", "gram"]).withColumn("stray", F.expr("root <> main")).drop("main"), "mixed")
         salts = rows.filter("stray").groupBy("hub").agg(
             F.ceil(F.approx_count_distinct("node") / ROWS_PER_BLOCK).cast("int").alias("salts")
         )
@@ -439,9 +455,11 @@ class NgramJaccardJoin:
 
     def roots(self) -> DataFrame:
         """``node, root`` for every set that is linked with another one and is not the root itself."""
-        lists = self.lists()
-        near = self.links(self.hub_pairs(lists), "hub")
-        far = self.links(self.cross_pairs(lists, components(near)), "cross")
+        scratch = Scratch(self.spark)
+        lists = self.lists(scratch)
+        near = self.links(self.hub_pairs(lists, scratch), "hub")
+        far = self.links(self.cross_pairs(lists, components(near), scratch), "cross")
+        scratch.clear()
         return components(near.union(far))
 
     def classes(self) -> DataFrame:
@@ -483,19 +501,23 @@ def without_near_copies(documents: DataFrame) -> DataFrame:
     return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*kept.columns))
 
 
-def one_row_of_each_component(documents: DataFrame) -> DataFrame:
+def one_row_of_each_component(documents: DataFrame, passes: int = 2) -> DataFrame:
     """Exactly one row of each component of texts stays, with all columns of the table; the pipeline's stage.
 
     Rows are told apart by a number, given when the input is stored, so it does not matter whether they have an id or share it.
     The row with the smallest id stays, one without an id only if no row of the component has one. Texts without words are alone.
+    The numbered copy of the input takes as much disk as the input, so columns are shuffled in two passes; what the result
+    does not read is deleted.
     """
     row = unused(documents, "row")
     numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    classes = NgramJaccardJoin(numbered.select(F.col(row).alias("id"), "text")).classes()
-    about = stored(classes.join(numbered.select(F.col(row).alias("id"), "doc_id"), "id"), "about")
+    join, scratch = NgramJaccardJoin(numbered.select(F.col(row).alias("id"), "text"), passes=passes), Scratch(documents.sparkSession)
+    about = scratch.stored(join.classes().join(numbered.select(F.col(row).alias("id"), "doc_id"), "id"), "about")
+    join.scratch.clear()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("first")
     staying = about.groupBy("component_id").agg(first).select(F.col("first.id").alias("id"))
     dropped = stored(about.join(staying, "id", "left_anti").select(F.col("id").alias(row)), "dropped")
+    scratch.clear()
     few = dropped.count() <= BROADCAST_SETS
     kept = numbered.join(F.broadcast(dropped) if few else dropped, row, "left_anti")
     return only(kept, documents.columns)

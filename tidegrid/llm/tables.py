@@ -32,8 +32,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     What the table was made of is not needed again, so its shuffle files are removed with the end of the write.
     """
+    return _written(df, scratch_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(CLEAN_UP, "false")
+    before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
@@ -42,6 +46,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one job, deleted together once what was made of them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def clear(self) -> None:
+        """Deletes the tables; data frames that still read them must not be used any more."""
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns; further columns of the input play no part, whatever their names."""
     return df.select(*[df[f"`{c}`"] for c in columns])
