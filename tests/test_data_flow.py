@@ -19,6 +19,7 @@ from tidegrid.sources import bars as bar_source
 from tidegrid.sources import news
 from tidegrid.streaming import indicators as live
 from tidegrid.streaming import jobs as live_jobs
+from tidegrid.streaming import late as live_late
 
 MINUTE = datetime(2024, 1, 2, 14, 30)
 
@@ -295,6 +296,51 @@ def test_stream_of_ticks_in_several_files_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, latest.select(*rounded).collect())) == sorted(map(tuple, batch.select(*rounded).collect()))
 
 
+def _bars_of(df):
+    rounded = [F.round(c, 9).alias(c) if c in ("v", "vw") else F.col(c) for c in ("symbol", "t", "open", "high", "low", "close", "v", "n", "vw")]
+    return sorted(map(tuple, df.select(*rounded).collect()), key=repr)
+
+
+def _batches_of(spark, batches, path, delay="10 minutes"):
+    """Ticks taken batch by batch."""
+    for batch_id, rows in enumerate(batches):
+        live_late.take_ticks(spark.createDataFrame(rows, live_late.TICK), batch_id, path, "5 minutes", delay)
+
+
+def test_late_ticks_wait_in_a_table_until_their_bars_are_repaired(spark, tmp_path):
+    rng = random.Random(7)
+    path = str(tmp_path)
+    ticks = [("A" if rng.random() < 0.8 else None, MINUTE + timedelta(seconds=rng.randint(0, 3600)), i, rng.random() * 9, 1.0) for i in range(300)]
+    ticks += [("A", MINUTE, 900, None, None), ("A", MINUTE, 901, 5.0, 0.0), ("A", MINUTE, 901, 5.0, 0.0)]
+    batches = [ticks[k::3] for k in range(3)]
+    _batches_of(spark, batches, path)
+    newest, late, known = None, [], []
+    for batch_id, rows in enumerate(batches):
+        for tick in rows:
+            end = MINUTE + timedelta(minutes=5 * ((tick[1] - MINUTE) // timedelta(minutes=5) + 1))
+            behind = newest is not None and end <= newest - timedelta(minutes=10)
+            (late if behind else known).append((*tick, batch_id) if behind else tick)
+        newest = max([tick[1] for tick in rows] + [newest or rows[0][1]])
+    assert late and sorted(map(tuple, live_late.late_ticks(spark, path).collect()), key=repr) == sorted(late, key=repr)
+    whole = resample.resample_ticks(spark.createDataFrame(ticks, live_late.TICK), "5 minutes")
+    in_time = resample.resample_ticks(spark.createDataFrame(known, live_late.TICK), "5 minutes")
+    assert _bars_of(live_late.followed_bars(spark, path)) == _bars_of(in_time)
+    _batches_of(spark, batches, path)  # repeated batches change nothing
+    changed = _bars_of(live_late.repair_late(spark, path, "5 minutes"))
+    keys = {(tick[0], MINUTE + timedelta(minutes=5 * ((tick[1] - MINUTE) // timedelta(minutes=5)))) for tick in late}
+    assert changed == [row for row in _bars_of(whole) if row[:2] in keys]
+    assert live_late.repair_late(spark, path, "5 minutes").count() == 0
+    assert _bars_of(live_late.followed_bars(spark, path)) == _bars_of(whole)
+
+
+def test_late_tables_of_no_ticks_and_of_ticks_without_a_time(spark, tmp_path):
+    path = str(tmp_path)
+    assert live_late.followed_bars(spark, path).count() == 0 and live_late.repair_late(spark, path, "5 minutes").count() == 0
+    _batches_of(spark, [[], [("A", None, 1, 2.0, 1.0)], [("A", MINUTE, 2, 2.0, 1.0)]], path)
+    assert live_late.late_ticks(spark, path).count() == 0
+    assert [row["n"] for row in live_late.followed_bars(spark, path).collect()] == [1]
+
+
 def test_stream_counts_a_repeated_article_once(spark, tmp_path):
     lexicon = spark.createDataFrame([("up", "positive", 1.0)], "word string, class string, weight double")
     rows = [(1, "A", MINUTE, "up", "x"), (2, "A", MINUTE, "x", "x")]

@@ -24,12 +24,16 @@ def window_start(ts: str, timeframe: str) -> Column:
     return F.window(ts, timeframe).start
 
 
+def window_end(ts: str, timeframe: str) -> Column:
+    return F.window(ts, timeframe).end
+
+
 def session_day(ts: str) -> Column:
     """Midnight of the Eastern calendar day, the label of a daily bar."""
     return F.date_trunc("day", eastern(ts))
 
 
-def _time_then_sequence() -> Column:
+def tick_order() -> Column:
     """(ts, seq) as one number: microseconds above the 64 bits of the sequence number, which may be negative or missing."""
     whole = "decimal(38,0)"
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast(whole)
@@ -43,7 +47,7 @@ def resample_ticks(ticks: DataFrame, timeframe: str = "1 minute", order: str | N
     Time and sequence number are put into one decimal, so the aggregation keeps fixed-width state, stays a hash aggregate and
     avoids sorting the ticks. ``order`` may name one numeric column that orders the ticks of a bar by itself.
     """
-    first_to_last = F.col(order) if order else _time_then_sequence()
+    first_to_last = F.col(order) if order else tick_order()
     label = session_day("ts") if daily else window_start("ts", timeframe)
     return ticks.groupBy("symbol", label.alias("t")).agg(*_bar_columns(first_to_last))
 

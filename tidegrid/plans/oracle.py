@@ -432,7 +432,7 @@ def oracle_sql() -> dict[str, str]:
     sql["features_all"] = _features_all()
     sql["features_wide"] = _features_all(WIDE_BARS, digits=3)
     sql["combined_features"] = _combined()
-    for name in ("scan_bars", "union_pages", "bars_sink", "resample_bars", "sort_time", "stream_bars"):
+    for name in ("scan_bars", "union_pages", "bars_sink", "resample_bars", "sort_time", "stream_bars", "stream_bars_repaired"):
         sql[name] = f"WITH {BARS} {_bar_select('bars')}"
     sql["scan_bars"] = sql["scan_bars"].replace("SELECT symbol, t, floor", "SELECT upper(symbol) AS symbol, t, floor")
     sql["resample_coarser"] = (

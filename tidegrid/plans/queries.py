@@ -33,6 +33,7 @@ from tidegrid.sources import bars as bar_source
 from tidegrid.sources import market, news, paging
 from tidegrid.streaming import indicators as live_indicators
 from tidegrid.streaming import jobs as live_jobs
+from tidegrid.streaming import late as live_late
 from tidegrid.streaming import paging as live_paging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -637,6 +638,12 @@ def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(live_jobs.bars_to_table(market.prepare(spark), folder))
 
 
+@register
+def stream_bars_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of three batches out of order with a short delay, after the late ticks were merged in."""
+    return rounded(live_late.repaired_bars_to_table(market.prepare(spark), market.ticks(spark, folder)))
+
+
 @register
 def stream_news_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(live_jobs.sentiment_to_table(market.prepare(spark), folder, lexicon(spark)))
