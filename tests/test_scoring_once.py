@@ -57,3 +57,14 @@ def test_content_is_cleaned_once(articles, lexicon):
     found = sentiment.labelled_articles(articles, lexicon, text.clean_html_text)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("template") <= 2 * text.HIDDEN.count("template")  # headline and content
     assert sorted(r["content"][:8] for r in found.collect()) == ["Up up & ", "Up up & ", "down dow", "nothing", "up < & d"]
+
+
+def test_the_training_table_scores_its_articles_once(spark, articles, lexicon, tmp_path):
+    bars = spark.range(30).select(
+        F.lit("A").alias("symbol"), F.timestamp_seconds(1704067200 + F.col("id") * 60).alias("t"),
+        *[(F.col("id") % 7 + k).cast("double").alias(n) for k, n in enumerate(("open", "high", "low", "close", "v", "n", "vw"))],
+    )
+    bars.write.parquet(str(tmp_path / "bars"))
+    scored = sentiment.sentiment_series(articles, lexicon)
+    table = jobs.combined_features(spark.read.parquet(str(tmp_path / "bars")), scored, 60).rows()
+    assert "FileScan" not in plan(table) and table.count() == 30
