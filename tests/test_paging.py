@@ -133,3 +133,27 @@ def test_another_page_under_a_known_cursor_is_an_error(spark, tmp_path):
     live.take_batch(spark.createDataFrame(pages[:2], paging.CHAINED_PAGE), 0, str(tmp_path / "out"))
     with pytest.raises(ValueError, match="different pages"):
         live.take_batch(spark.createDataFrame([dict(pages[1], news=[])], paging.CHAINED_PAGE), 1, str(tmp_path / "out"))
+
+
+def test_pages_are_written_once_while_they_wait_and_never_dealt(spark, tmp_path, monkeypatch):
+    """Three batches, last pages first; a page that waits lands again, and one twice in a batch."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, at, **o: (plans.update({at[len(str(tmp_path)) :]: w._df._jdf.queryExecution().executedPlan().toString()}), write(w, at, **o))[1])
+    pages = chain("x", 12)
+    for batch_id, part in enumerate((pages[8:], pages[4:9], [*pages[:4], pages[2], pages[9]])):
+        live.take_batch(spark.createDataFrame(part, paging.CHAINED_PAGE), batch_id, str(tmp_path / "out"))
+    assert places(live.followed_news(spark, str(tmp_path / "out"))) == sorted(wanted("x", 12))
+    waited = spark.read.parquet(str(tmp_path / "out" / "waiting")).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in waited} == {0: 4, 1: 4}
+    for table in ("news", "waiting"):
+        assert "hashpartitioning" not in plans[f"/out/{table}/batch=1"] and "BroadcastHashJoin" in plans[f"/out/{table}/batch=1"]
+
+
+def test_many_links_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "MOST_SENT_LINKS", 0)
+    pages = chain("x", 6) + chain("z", 3, base=500)
+    for batch_id, part in enumerate((pages[1::2], pages[::2])):
+        live.take_batch(spark.createDataFrame(part, paging.CHAINED_PAGE), batch_id, str(tmp_path / "out"))
+    assert places(live.followed_news(spark, str(tmp_path / "out"))) == sorted(wanted("x", 6) + wanted("z", 3, base=500))

@@ -9,37 +9,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.session import cut_lineage, scratch_path
 from tidegrid.sources.paging import CHAINED_PAGE, FIRST, LINK, chain_places, page_rows, refuse, refuse_forks, with_digest, write_news_chain
 
 HEADS = "symbol string, head string, pages long"
+PAGE = ["symbol", "page_token", "digest"]
+#: Links of about 300 bytes up to which they are sent to every task.
+MOST_SENT_LINKS = 100_000
 
 
 def _written(spark: SparkSession, path: str, table: str, batch_id: int, empty: DataFrame) -> DataFrame:
     return spark.read.schema(empty.schema).parquet(f"{path}/{table}/batch={batch_id}") if batch_id >= 0 else empty
 
 
-def _released(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
-    """Links given out before this batch."""
+def _earlier(spark: SparkSession, path: str, table: str, batch_id: int, empty: DataFrame) -> DataFrame:
+    """What all batches before this one wrote."""
     if batch_id <= 0:
         return empty
-    return spark.read.parquet(f"{path}/links").filter(F.col("batch") < batch_id).select(*empty.columns)
+    written = T.StructType([*empty.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(written).parquet(f"{path}/{table}").filter(F.col("batch") < batch_id).select(*empty.columns)
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Links to be joined with whole pages: sent to all tasks, if their number allows that, so that the pages stay where they are."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= MOST_SENT_LINKS else rows
 
 
 def take_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Writes ``news`` (articles given out), ``links`` (their pages), ``waiting`` (pages not connected yet) and ``heads``.
+    """Writes ``news`` (articles given out), ``links`` (their pages), ``waiting`` (new pages not connected yet) and ``heads``.
 
     ``heads`` holds per symbol the cursor of the page to come (NULL at the end of a chain) and the number of pages so far. Pages
-    that come again alike are left out; a cursor that comes again with another page is an error, as are forks.
+    that come again alike are left out; a cursor that comes again with another page is an error, as are forks. All that is decided on
+    links; a page is written once while it waits, once when it is given out, and is dealt anew only if a batch holds it twice.
     """
     spark = batch.sparkSession
     fresh = with_digest(batch)
-    before = _written(spark, path, "waiting", batch_id - 1, spark.createDataFrame([], fresh.schema))
+    landed = cut_lineage(fresh.select(*LINK))
+    distinct = cut_lineage(landed.distinct())
+    if distinct.count() < landed.count():
+        fresh = fresh.dropDuplicates(LINK)
     heads = _written(spark, path, "heads", batch_id - 1, spark.createDataFrame([], HEADS))
-    released = _released(spark, path, batch_id, spark.createDataFrame([], fresh.select(*LINK).schema))
-    pages = cut_lineage(fresh.unionByName(before).dropDuplicates(LINK).join(released.select("symbol", "page_token", "digest"), ["symbol", "page_token", "digest"], "left_anti"))
-    links = pages.select(*LINK)
+    released = _earlier(spark, path, "links", batch_id, spark.createDataFrame([], distinct.schema))
+    held = _earlier(spark, path, "waiting", batch_id, spark.createDataFrame([], fresh.schema))
+    given = released.select(*PAGE)
+    before = held.select(*LINK).join(given, PAGE, "left_anti")
+    new = cut_lineage(distinct.join(given, PAGE, "left_anti").join(before.select(*PAGE), PAGE, "left_anti"))
+    links = cut_lineage(new.unionByName(before))
     refuse_forks(links)
     refuse(links.join(released, ["symbol", "page_token"], "left_semi").select("symbol", "page_token"), "different pages under one cursor")
     # the page to come stands in for the first one, so places count from there
@@ -48,14 +66,17 @@ def take_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     places = chain_places(from_head).join(heads, "symbol", "left")
     token = F.when(F.col("page_token") == FIRST, F.coalesce("head", F.lit(FIRST))).otherwise(F.col("page_token"))
     page = F.col("place") + F.coalesce("pages", F.lit(0))
-    placed = cut_lineage(places.filter(F.col("place").isNotNull()).select("symbol", token.alias("page_token"), page.alias("page")))
-    out = pages.join(placed, ["symbol", "page_token"])
+    placed = places.filter(F.col("place").isNotNull()).select("symbol", token.alias("page_token"), page.alias("page"))
+    out = cut_lineage(links.join(placed, ["symbol", "page_token"]))
     moved = out.groupBy("symbol").agg(F.max_by("next_page_token", "page").alias("head"), (F.max("page") + 1).alias("pages"))
     kept = heads.join(moved, "symbol", "left_anti").unionByName(moved)
+    # a page that waited may land once more in the batch that gives it out
+    ready = {kind: _sent(out.select(*PAGE, "page").join(new.select(*PAGE), PAGE, kind)) for kind in ("left_semi", "left_anti")}
+    later = _sent(new.select(*PAGE).join(out.select(*PAGE), PAGE, "left_anti"))
     for table, rows in (
-        ("news", page_rows(out)),
+        ("news", page_rows(fresh.join(ready["left_semi"], PAGE).unionByName(held.join(ready["left_anti"], PAGE)))),
         ("links", out.select(*LINK)),
-        ("waiting", pages.join(placed, ["symbol", "page_token"], "left_anti").select(*fresh.columns)),
+        ("waiting", fresh.join(later, PAGE, "left_semi").select(*fresh.columns)),
         ("heads", kept),
     ):
         rows.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch_id}")
