@@ -190,3 +190,12 @@ def test_features_share_one_exchange_and_sort_of_the_blocks(blocks):
     sorts = [line for line in text.splitlines() if "Sort [" in line and "_block" in line]
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_block" in line]
     assert len(sorts) == 1 and len(exchanges) == 1
+
+
+def test_volume_of_short_series_reads_the_layout_once(spark):
+    rows = [(s, i, float(i * 7 % 5), float(i)) for s in ("a", "b") for i in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, i int, close double, v double")
+    bars = bars.select("symbol", F.timestamp_seconds(F.col("i") * 60).alias("t"), "close", "v")
+    short, long = (indicators.on_balance_volume(lay_out(bars, block=block, back=8, ahead=8)).rows() for block in (64, 16))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for df in (short, long)]
+    assert plans[0] < plans[1] and sorted(short.collect()) == sorted(long.collect()) and short.count() == 80
